@@ -18,6 +18,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import assess
 
@@ -42,6 +48,6 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_risk_controlled_quality, op8_token_counts, op9_feistel_shards, op10_hierarchical_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_deobfuscated_pii, op6_risk_controlled_quality, op8_token_counts, op9_feistel_shards, op10_hierarchical_packing)}
 
 ORACLES: dict[str, str] = {}
