@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,66 +41,85 @@ END_ID = 1
 POOL_TOKENS = 1 << 19
 #: Sequences of one optimiser step.
 STEP_GROUP = 8
-#: Words whose ids a worker keeps; beyond it the memo starts anew.
-MEMO_WORDS = 400_000
+#: Units whose ids a worker keeps; beyond it the memo starts anew.
+MEMO_UNITS = 1_000_000
 
-_BLANK = re.compile(r"[ \t-\r]+")
+#: Latin-1 letters: one code point each, lower-cased alone, untouched by normalisation.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+_CLOSING = f"([{_LETTERS}])([.,;:!?])"
 
 
 class WordIds:
     """Ids of whole texts from a word tokenizer that never joins across white space.
 
-    Words between ASCII blanks are encoded once and kept. New words go to the
-    library together, parted by a special token that the library never merges.
+    Texts are cut at ASCII blanks, and between a Latin-1 letter and a closing mark,
+    where the tokenizer always parts; each distinct unit is encoded once and kept.
+    New units of plain letters go to the library together, parted by blanks: each
+    ends with a token that closes a word. Any other unit goes to it alone.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.part = "<|endoftext|>"
-        self.part_id = self.tok.token_to_id(self.part)
+        vocab = self.tok.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = {"": 0}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
-        self.n, self.used = 0, 0
-
-    def _add(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        ids = np.array(self.tok.encode(self.part.join(plain), add_special_tokens=False).ids if plain else [], np.uint32)
-        ends = np.append(np.flatnonzero(ids == self.part_id), len(ids)) if plain else []
-        begins = np.append(0, ends[:-1] + 1) if plain else []
-        parts = [ids[b:e] for b, e in zip(begins, ends, strict=True)]
-        for w in words:
-            if "<|" in w:
-                plain.append(w)
-                parts.append(np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32))
-        more = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        while self.used + len(more) > len(self.flat):
+        self.n, self.used = 1, 0
+
+    def _keep(self, units: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        while self.n + len(plain) + 1 > len(self.starts):
+        while self.n + len(units) + 1 > len(self.starts):
             self.starts = np.append(self.starts, np.zeros_like(self.starts))
-        self.flat[self.used : self.used + len(more)] = more
-        self.starts[self.n + 1 : self.n + 1 + len(plain)] = self.used + np.cumsum([len(p) for p in parts])
-        self.index.update(zip(plain, range(self.n, self.n + len(plain)), strict=True))
-        self.n, self.used = self.n + len(plain), self.used + len(more)
-
-    def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if self.n > MEMO_WORDS:
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[self.n + 1 : self.n + 1 + len(units)] = self.used + ends
+        self.index.update(zip(units, range(self.n, self.n + len(units)), strict=True))
+        self.n, self.used = self.n + len(units), self.used + len(ids)
+
+    def _add(self, units: list[str]) -> None:
+        encode = lambda text: np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+        plain = [u for u in units if _PLAIN.fullmatch(u)]
+        if plain:
+            ids = encode(" ".join(plain))
+            self._keep(plain, ids, np.flatnonzero(self.closes[ids]) + 1)
+        for u in set(units).difference(plain):
+            ids = encode(u)
+            self._keep([u], ids, np.array([len(ids)]))
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        if self.n > MEMO_UNITS:
             self.clear()
-        split = [_BLANK.split(t) for t in texts]
-        if new := {w for words in split for w in words}.difference(self.index):
-            self._add(sorted(new))
-        get = self.index.__getitem__
-        for words in split:
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            begin, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-            total = int(size.sum())
-            ends = np.cumsum(size)
-            yield self.flat[np.repeat(begin - (ends - size), size) + np.arange(total)]
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, pattern=_CLOSING, replacement=r"\1 \2"))
+        units = split.flatten().dictionary_encode()
+        names = units.dictionary.to_pylist()
+        if new := [u for u in names if u not in self.index]:
+            self._add(new)
+        known = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        at = known[units.indices.to_numpy()]
+        begin, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        counts = pc.list_value_length(split).to_numpy()
+        cuts = np.append(0, ends)[np.cumsum(counts)]
+        return [ids[a:b] for a, b in zip(np.append(0, cuts[:-1]), cuts, strict=True)]
+
+
+#: By tokenizer file: a worker's memo outlives its tasks.
+_WORKER: dict[str, WordIds] = {}
+
+
+def worker_ids(path: str) -> WordIds:
+    if path not in _WORKER:
+        _WORKER[path] = WordIds(path)
+    return _WORKER[path]
 
 
 class Packer:
@@ -221,7 +241,7 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFr
     names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(tokenizer_path)
+        encode = worker_ids(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId() << 33)
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -234,7 +254,7 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=names)
 
         for b in batches:
-            for key, ids in zip(b.column(0).to_pylist(), encode.batch(b.column(1).to_pylist()), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), encode.batch(b.column(1)), strict=True):
                 packer.add(key, np.append(ids, np.uint32(END_ID)))
             yield from out()
         packer.pack(last=True)
