@@ -3,9 +3,10 @@
 For byte-level BPE the last token of every prefix of a piece is unique: a token
 sequence is the encoding exactly if each token encodes to itself and each adjacent
 pair encodes to itself. Reading a piece byte by byte thus is deterministic. The
-transducer's states are the piece prefixes read so far; each transition carries
-the number of tokens that it adds to (or takes from) the count, so a piece's
-count is the sum along its path. States are compiled when first reached.
+vocabulary is compiled into one automaton that names the tokens ending at each byte;
+with the last tokens of the prefixes it is a transducer whose transition on a byte
+carries the number of tokens that it adds to (or takes from) the count, so a
+piece's count is the sum along its path. Counts of pieces seen are kept.
 
 Texts are cut into chunks. The map of a chunk is (head, count, tail): the text
 before its first fixed piece boundary, the tokens of all pieces between fixed
@@ -23,6 +24,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,9 +34,8 @@ from .common import small_batches
 
 #: Characters of a chunk.
 CHUNK = 1 << 15
-#: States, and pieces with their counts, that a worker keeps before it starts anew.
-MAX_STATES = 400_000
-MAX_PIECES = 400_000
+#: Pieces with their counts, and pairs of tokens, that a worker keeps before it starts anew.
+MAX_PIECES = 1_000_000
 
 # The piece pattern of byte-level BPE as the tokenizer library defines it.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -63,19 +64,14 @@ class Transducer:
         tokens = {raw(t) for t in spec["model"]["vocab"] if all(c in letters for c in t)}
         # A token that its own bytes do not encode to never appears.
         self.tokens = {t for t in tokens if self._merge(t) == [t]}
-        self.longest = max(map(len, self.tokens))
+        self.automaton = ahocorasick.Automaton()
+        for t in self.tokens:
+            self.automaton.add_word(t.decode("latin-1"), t)
+        self.automaton.make_automaton()
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
         self.pieces = regex.compile(PIECE)
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        # By state: arcs by byte, the last token, the tokens so far, and the state before the last token.
-        self.arcs: list[dict[int, tuple[int, int]]] = [{}]
-        self.read: list[bytes] = [b""]
-        self.last: list[bytes] = [b""]
-        self.total: list[int] = [0]
         self.counts: dict[str, int] = {}
 
     def _merge(self, raw: bytes) -> list[bytes]:
@@ -96,53 +92,32 @@ class Transducer:
             ok = self.pairs[key] = self._merge(a + b) == [a, b]
         return ok
 
-    def _step(self, path: list[int], byte: int) -> int:
-        """The state after ``byte``; ``path`` holds the state of each prefix."""
-        now = path[-1]
-        if found := self.arcs[now].get(byte):
-            return found[0]
-        read = self.read[now] + bytes([byte])
-        n = len(read)
-        for size in range(min(n, self.longest), 0, -1):
-            token = read[n - size :]
-            if token in self.tokens and (size == n or self._follows(self.last[path[n - size]], token)):
-                break
-        total = (self.total[path[n - size]] if size < n else 0) + 1
-        state = len(self.arcs)
-        self.arcs.append({})
-        self.read.append(read)
-        self.last.append(token)
-        self.total.append(total)
-        self.arcs[now][byte] = (state, total - self.total[now])
-        return state
-
     def piece(self, text: str) -> int:
-        """Tokens of one piece: the sum of the transitions' counts."""
-        if len(self.arcs) > MAX_STATES:
-            self.reset()
-        raw = text.encode("utf-8", "surrogatepass")
-        path = [0]
-        count = 0
-        if len(raw) > 256:
-            return self._long(raw)
-        for byte in raw:
-            state = self._step(path, byte)
-            count += self.arcs[path[-1]][byte][1]
-            path.append(state)
+        """Tokens of one piece: the sum of what its bytes' transitions emit.
+
+        The automaton names, for each byte read, the tokens that end there, longest
+        first; the one that may follow the prefix before it is the prefix's last token.
+        """
+        raw = text.encode("utf-8", "surrogatepass").decode("latin-1")
+        last: list[bytes | None] = [None] * (len(raw) + 1)
+        total = [0] * (len(raw) + 1)
+        pairs, count, read = self.pairs, 0, -1
+        for end, token in self.automaton.iter(raw):
+            if end == read:
+                continue
+            start = end + 1 - len(token)
+            if start:
+                key = (last[start], token)
+                if (ok := pairs.get(key)) is None:
+                    ok = self._follows(*key)
+                if not ok:
+                    continue
+            last[end + 1] = token
+            total[end + 1] = total[start] + 1
+            count += total[end + 1] - total[end]
+            read = end
         return count
 
-    def _long(self, raw: bytes) -> int:
-        """As ``piece``, for long pieces, whose states are not worth keeping."""
-        last, total = [b""], [0]
-        for n in range(1, len(raw) + 1):
-            for size in range(min(n, self.longest), 0, -1):
-                token = raw[n - size : n]
-                if token in self.tokens and (size == n or self._follows(last[n - size], token)):
-                    break
-            last.append(token)
-            total.append(total[n - size] + 1)
-        return total[-1]
-
     def span(self, text: str) -> int:
         """Tokens of a text whose two ends are piece boundaries; no special tokens."""
         found = self.pieces.findall(text)
@@ -152,9 +127,8 @@ class Transducer:
         except KeyError:
             if len(counts) > MAX_PIECES:
                 counts.clear()
-            for p in found:
-                if p not in counts:
-                    counts[p] = self.piece(p)
+            for p in set(found).difference(counts):
+                counts[p] = self.piece(p)
             return sum(map(counts.__getitem__, found))
 
     # A chunk's map: (head, count, tail); count is None if the chunk has no fixed boundary.
@@ -206,12 +180,22 @@ class Transducer:
         return total
 
 
+#: By tokenizer file: a worker's compiled transducer outlives its tasks.
+_WORKER: dict[str, Transducer] = {}
+
+
+def compiled(path: str) -> Transducer:
+    if path not in _WORKER:
+        _WORKER[path] = Transducer(path)
+    return _WORKER[path]
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row; no shuffle."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = Transducer(tokenizer_path)
+        fst = compiled(tokenizer_path)
         for b in batches:
             counts = [fst.count(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
