@@ -18,6 +18,24 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_segmented_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op3_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sp_sampling import segment
+
+    return segment(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
+
+
 def op5_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find
 
@@ -48,6 +66,6 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_deobfuscated_pii, op6_risk_controlled_quality, op8_token_counts, op9_feistel_shards, op10_hierarchical_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_segmented_urls, op3_bitmask_language, op4_sampled_pieces, op5_deobfuscated_pii, op6_risk_controlled_quality, op8_token_counts, op9_feistel_shards, op10_hierarchical_packing)}
 
 ORACLES: dict[str, str] = {}
