@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small; a batch of very long texts would not fit."""
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_outlens_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    out = Path(tempfile.mkdtemp(prefix="code-")) / "outlens_code.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(out))
+    context._outlens_shipped = True
+
+
+def prepare(spark: SparkSession) -> None:
+    """For Python workers: this code, and small Arrow batches, as a batch of very long texts would not fit."""
+    ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 

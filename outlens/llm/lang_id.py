@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches
+from .common import mix64, prepare
 
 SAMPLE_ROWS = 2_000
 GRAMS = 20_000
@@ -108,7 +108,7 @@ def is_held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame) -> Filter:
     """The filter from the rows of ``docs`` that are not held out and have text and lang."""
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     taught = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     # One row per language: as many rows as the table has languages.
     sizes = taught.groupBy("lang").agg(F.count("*").alias("_rows"))
@@ -138,7 +138,7 @@ def fit(docs: DataFrame) -> Filter:
 
 def judged(docs: DataFrame, model: Filter) -> DataFrame:
     """``docs`` with ``_judged``: a struct of lang_pred and score. Reads the text alone."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     # The filter's size is fixed by its parameters: 8 MB for up to 64 languages.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import prepare
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -236,7 +236,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
     """One row per piece; ``with_ids`` adds the piece's token ids."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
     names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import prepare
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -187,7 +187,7 @@ def listed(by_kind: dict[str, list[tuple[int, int]]]) -> str:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_sha256, spans and n_added for every row; no shuffle."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
 
@@ -224,7 +224,7 @@ def mask(text: str) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with masked texts and their n_chars; other columns as they are, null texts stay null."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     @F.pandas_udf("string")
     def masked(texts):

@@ -48,6 +48,12 @@ def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_prob_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prob_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
@@ -66,6 +72,6 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_segmented_urls, op3_bitmask_language, op4_sampled_pieces, op5_deobfuscated_pii, op6_risk_controlled_quality, op8_token_counts, op9_feistel_shards, op10_hierarchical_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_segmented_urls, op3_bitmask_language, op4_sampled_pieces, op5_deobfuscated_pii, op6_risk_controlled_quality, op7_prob_minhash_dedup, op8_token_counts, op9_feistel_shards, op10_hierarchical_packing)}
 
 ORACLES: dict[str, str] = {}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import checkpointed, mix64, text_or_empty
+from .common import checkpointed, mix64, ship_code, text_or_empty
 
 ROUNDS = 6
 ROW_OVERHEAD = 16
@@ -72,6 +72,7 @@ def numbered(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
 
 def shard(docs: DataFrame, shards: int = 40, seed: int = 20240607) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, row_no for every row."""
+    ship_code(docs.sparkSession)
     text = text_or_empty()
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, unit_open
+from .common import mix64, prepare, unit_open
 
 BLANK = "▁"
 #: Scores are ranks in this model; their weight is tempered.
@@ -257,7 +257,7 @@ def compiled(path: str, alpha: float = ALPHA) -> Lattice:
 
 def segment(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed: int = SEED, with_ids: bool = True) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, lossless (decoding gave the text back) and, on demand, ids for every row; no shuffle."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     names = ["doc_id", "n_pieces", "ids_crc32", "lossless"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import prepare
 
 #: Characters of a chunk.
 CHUNK = 1 << 15
@@ -192,7 +192,7 @@ def compiled(path: str) -> Transducer:
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row; no shuffle."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = compiled(tokenizer_path)

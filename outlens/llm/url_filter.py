@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import prepare
+
 #: (verdict, host, path)
 RULES = (
     ("allow", "com", "/"),
@@ -140,6 +142,7 @@ class Bayes:
 def judge(pages: DataFrame, rules=RULES, vocabulary_size: int = VOCABULARY, features: int = FEATURES) -> DataFrame:
     """page_id, host, path, rule, verdict and odds (the method's log odds of block) for every row."""
     spark = pages.sparkSession
+    prepare(spark)
     split_by = spark.sparkContext.broadcast(vocabulary(pages, vocabulary_size))
     rows = ruled(pages, rules)
 
