@@ -18,6 +18,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lattice_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_segmented_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
@@ -72,6 +78,6 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_segmented_urls, op3_bitmask_language, op4_sampled_pieces, op5_deobfuscated_pii, op6_risk_controlled_quality, op7_prob_minhash_dedup, op8_token_counts, op9_feistel_shards, op10_hierarchical_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lattice_embeddings, op2_segmented_urls, op3_bitmask_language, op4_sampled_pieces, op5_deobfuscated_pii, op6_risk_controlled_quality, op7_prob_minhash_dedup, op8_token_counts, op9_feistel_shards, op10_hierarchical_packing)}
 
 ORACLES: dict[str, str] = {}
