@@ -101,8 +101,8 @@ def weighted_percentile(df: DataFrame, value: str, weight: str, percent: float)
 
 
 def normal_table() -> list[float]:
-    """The normal distribution function at -3.5, -3.4, .. 3.5, to four places: the values of printed tables."""
-    return [round(0.5 * (1 + math.erf(i / 10 / math.sqrt(2))), 4) for i in range(-35, 36)]
+    """The normal distribution function at -3.5, -3.4, .. 3.5, to six places, as in printed tables."""
+    return [round(0.5 * (1 + math.erf(i / 10 / math.sqrt(2))), 6) for i in range(-35, 36)]
 
 
 def normal_cdf(z: Column) -> Column:
