@@ -88,15 +88,18 @@ def cumulated(df: DataFrame, value: str, weight: str) -> DataFrame:
 
 
 def weighted_percentile(df: DataFrame, value: str, weight: str, percent: float) -> float:
-    """A data value: walking from the nearer end, the first at which the weights reach the whole part of their share."""
+    """A data value: walking from the nearer end, the first at which the weights reach the whole part of their share.
+
+    Sums of fractional weights are only known to rounding, hence the slack.
+    """
     table = cumulated(df.select(F.col(quoted(value)).cast("double").alias("v"), F.col(quoted(weight)).cast("double").alias("w")), "v", "w")
     total = table.agg(F.sum("w")).first()[0]
     if total is None:
         return math.nan
     if percent <= 50:
-        reached = F.col("upto") >= float(int(percent / 100 * total))
+        reached = F.col("upto") >= int(round(percent / 100 * total, 6)) - 1e-6
         return table.where(reached).agg(F.min("v")).first()[0]
-    reached = F.lit(total) - F.col("upto") + F.col("w") >= float(int((100 - percent) / 100 * total))
+    reached = F.lit(total) - F.col("upto") + F.col("w") >= int(round((100 - percent) / 100 * total, 6)) - 1e-6
     return table.where(reached).agg(F.max("v")).first()[0]
 
 
