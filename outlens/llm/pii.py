@@ -107,8 +107,10 @@ _SPELLED = re.compile(rf"(?<![A-Za-z])(?:(?:{_WORD}|[0-9])[ .-]{{0,2}}){{3,}}(?:
 _ONE_WORD = re.compile(rf"(?:{_WORD})", re.IGNORECASE)
 _AT_MARK = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}at[ \t]{0,3}[\])}>][ \t]{0,3}", re.IGNORECASE)
 _DOT_MARK = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|punkt|point|punto)[ \t]{0,3}[\])}>][ \t]{0,3}", re.IGNORECASE)
+# Top-level domains that are no common word.
+TOP_DOMAINS = "com org net edu gov mil int info biz io co ai app dev uk de fr es nl eu ca au ch se pl ru jp cn br"
 #: Bare words count only in the full shape: name at host dot name.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( at )[A-Za-z0-9-]{1,63}((?:(?: dot |\.)[A-Za-z0-9-]{1,63}){0,6} dot )[A-Za-z]{2,24}(?![A-Za-z])", re.IGNORECASE)
+_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( at )[A-Za-z0-9-]{1,63}((?:(?: dot |\.)[A-Za-z0-9-]{1,63}){0,6} dot )(?:" + TOP_DOMAINS.replace(" ", "|") + r")(?![A-Za-z])", re.IGNORECASE)
 _BARE_DOT = re.compile(r" dot ", re.IGNORECASE)
 
 
