@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import checkpointed, ship_code
+
+__all__ = ["SPACES", "checkpointed", "mix64", "prepare", "ship_code", "table", "text_or_empty", "unit_open", "words_of"]
+
 #: Text rows per Arrow batch: a worker holds one batch, so this bounds its memory.
 TEXT_BATCH_ROWS = 500
 TEXT_BATCH_BYTES = 16 << 20
@@ -22,20 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
-    context = spark.sparkContext
-    if getattr(context, "_outlens_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="code-")) / "outlens_code.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    context.addPyFile(str(out))
-    context._outlens_shipped = True
-
-
 def prepare(spark: SparkSession) -> None:
     """For Python workers: this code, and small Arrow batches, as a batch of very long texts would not fit."""
     ship_code(spark)
@@ -43,24 +29,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut.
-
-    The folder is ``spark.checkpoint.dir``; only a session that names none (a
-    local test session) gets a temporary one.
-    """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not where:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            where = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
-
-
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
