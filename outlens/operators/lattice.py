@@ -4,10 +4,11 @@ A combination that passes is reported and not extended; one that fails a monoton
 dropped with all its supersets; any other may grow. Triples are reported only if all
 their pairs could grow.
 
-Plan: one pass aggregates single values; values that may not grow are nulled out and the
-rows are aggregated by what is left (few distinct rows, as a value that may grow has
-a share ``min_support`` of the outliers, so an attribute has at most 1 / min_support of them); pairs and
-triples are grouping sets over that small table. Each pass aggregates map-side first.
+Plan: one pass aggregates single values. A value that may grow has a share ``min_support`` of
+the outliers, so an attribute has at most 1 / min_support of them; they are numbered and
+broadcast. A second pass emits, per row, the pairs and triples of such values, each packed into one
+long, and aggregates them. Both passes are combined map-side, so what is shuffled is bounded by
+the number of distinct combinations, not of rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import Metric
@@ -23,8 +24,11 @@ from ..runtime import checkpointed, quoted
 
 #: Grouping sets of one expand; more are split over several.
 SETS_AT_ONCE = 60
-#: Surviving values that may be broadcast. With a positive support they never exceed attributes / support.
-BROADCAST_VALUES = 200_000
+#: Values that may grow, up to which they are numbered and broadcast. With a positive support there are at
+#: most attributes / support of them; beyond the limit, grouping sets over joined values are used.
+PACKED_VALUES = 200_000
+#: Bits of a value's number in a packed combination.
+BITS = 21
 
 
 def _passes(metrics: Sequence[Metric], monotone_only: bool) -> Column:
@@ -36,6 +40,56 @@ def _passes(metrics: Sequence[Metric], monotone_only: bool) -> Column:
     return out
 
 
+def _packed(base: DataFrame, values: DataFrame, names: list[str], sets: list[tuple[str, ...]], sums: list[Column]) -> DataFrame:
+    """Sums of the pairs and triples of ``values`` (_a: attribute number, _v: value), one long per combination.
+
+    Numbers start at 1 and ascend with the attributes, so pairs and triples never collide.
+    """
+    numbered = values.withColumn("_id", F.row_number().over(Window.orderBy("_a", "_v")).cast("long"))
+    numbered = F.broadcast(checkpointed(numbered))
+    rows = base
+    ids = {n: F.col(f"_i{k}") for k, n in enumerate(names)}
+    for k, n in enumerate(names):
+        own = numbered.where(F.col("_a") == k).select(F.col("_v").alias("_w"), F.col("_id").alias(f"_i{k}"))
+        rows = rows.join(own, F.col(n) == F.col("_w"), "left").drop("_w", n)
+
+    def pack(s: tuple[str, ...]) -> Column:
+        out = ids[s[0]]
+        for n in s[1:]:
+            out = F.shiftleft(out, BITS).bitwiseOR(ids[n])  # null if any is absent
+        return out
+
+    measures = [c for c in base.columns if c not in names]
+    packed = rows.select(*measures, F.explode(F.array(*[pack(s) for s in sets])).alias("_p")).where(F.col("_p").isNotNull()).groupBy("_p").agg(*sums)
+    part = lambda k: F.shiftrightunsigned("_p", BITS * k).bitwiseAND((1 << BITS) - 1)
+    out = packed.withColumns({"_x0": part(0), "_x1": part(1), "_x2": part(2)})
+    for k in range(3):
+        out = out.join(numbered.select(F.col("_id").alias(f"_x{k}"), F.col("_a").alias(f"_a{k}x"), F.col("_v").alias(f"_v{k}x")), f"_x{k}", "left")
+    at = [F.coalesce(*[F.when(F.col(f"_a{k}x") == i, F.col(f"_v{k}x")) for k in range(3)]).alias(n) for i, n in enumerate(names)]
+    order = F.when(F.col("_x2") > 0, 3).otherwise(2).alias("_order")
+    return out.select(*at, *measures, order)
+
+
+def _by_sets(base: DataFrame, values: DataFrame, names: list[str], sets: list[tuple[str, ...]], sums: list[Column], grouped) -> DataFrame:
+    """As ``_packed`` for any number of values: others are nulled out by joins, then grouping sets are formed."""
+    left = base
+    for k, n in enumerate(names):
+        own = values.where(F.col("_a") == k).select("_v")
+        left = left.join(own, F.col(n) == F.col("_v"), "left").withColumn(n, F.when(F.col("_v").isNotNull(), F.col(n))).drop("_v")
+    return grouped(left.groupBy(*names).agg(*sums), sets)
+
+
+def _with_growing_pairs(larger: DataFrame, names: list[str]) -> DataFrame:
+    """Triples that pass, all of whose pairs could grow."""
+    pairs = larger.where((F.col("_order") == 2) & ~F.col("_keep")).select(F.struct(*names).alias("_pair"))
+    triples = larger.where((F.col("_order") == 3) & F.col("_keep")).withColumn("_whole", F.struct(*names))
+    blank = F.lit(None).cast(larger.schema[names[0]].dataType)
+    without = [F.when(F.col(n).isNotNull(), F.struct(*[(blank if m == n else F.col(m)).alias(m) for m in names])) for n in names]
+    parts = triples.select("_whole", F.explode(F.array(*without)).alias("_pair")).where(F.col("_pair").isNotNull())
+    ok = parts.join(pairs, "_pair", "left_semi").groupBy("_whole").agg(F.count("*").alias("_n")).where(F.col("_n") == 3).select("_whole")
+    return triples.join(ok, "_whole", "left_semi").drop("_whole")
+
+
 def explain(
     df: DataFrame,
     attributes: Sequence[str],
@@ -93,25 +147,15 @@ def explain(
 
     singles = checkpointed(judged(grouped(base, [(n,) for n in names])))
     found = singles.where("_keep")
-    if max_order > 1 and (sets := [s for k in range(2, max_order + 1) for s in sets_of(k)]):
+    sets = [s for k in range(2, max_order + 1) for s in sets_of(k)]
+    if sets:
         growing = singles.where(~F.col("_keep"))
-        small = growing.count() <= BROADCAST_VALUES
-        left = base
-        for n in names:
-            values = growing.where(F.col(n).isNotNull()).select(F.col(n).alias("_v"))
-            left = left.join(F.broadcast(values) if small else values, F.col(n) == F.col("_v"), "left").withColumn(n, F.when(F.col("_v").isNotNull(), F.col(n))).drop("_v")
-        left = left.groupBy(*names).agg(*sums)
-        larger = checkpointed(judged(grouped(left, sets)))
+        values = growing.select(F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(i)) for i, n in enumerate(names)]).alias("_a"), F.coalesce(*names).alias("_v"))
+        n_values = growing.count()
+        larger = checkpointed(judged(_packed(base, values, names, sets, sums) if n_values <= PACKED_VALUES else _by_sets(base, values, names, sets, sums, grouped)))
         found = found.union(larger.where(F.col("_keep") & (F.col("_order") == 2)))
         if max_order > 2:
-            pairs = larger.where((F.col("_order") == 2) & ~F.col("_keep")).select(F.struct(*names).alias("_pair"))
-            triples = larger.where((F.col("_order") == 3) & F.col("_keep"))
-            whole_set = F.struct(*names)
-            blank = F.lit(None).cast(base.schema[names[0]].dataType)
-            without = [F.when(F.col(n).isNotNull(), F.struct(*[(blank if m == n else F.col(m)).alias(m) for m in names])) for n in names]
-            parts = triples.select(whole_set.alias("_set"), F.explode(F.filter(F.array(*without), lambda p: p.isNotNull())).alias("_pair"))
-            ok = parts.join(pairs, "_pair", "left_semi").groupBy("_set").agg(F.count("*").alias("_n")).where(F.col("_n") == 3).select("_set")
-            found = found.union(triples.withColumn("_set", whole_set).join(ok, "_set", "left_semi").drop("_set"))
+            found = found.union(_with_growing_pairs(larger, names))
     return found.select(
         *[F.col(f"{n}.v").alias(a) for a, n in zip(attributes, names, strict=True)],
         *[F.col(f"_m_{k}").alias(k) for k in aggregates], *[m.name for m in metrics], F.col("_order").alias("order"),

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from outlens.operators import lattice
 from outlens.operators.diff import diff, diff_join, split, star_attributes, tagged
 
 from .brute import explain
@@ -29,8 +30,10 @@ def reported(df):
 
 
 @pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("packed", [lattice.PACKED_VALUES, 0])
 @pytest.mark.parametrize("metric,support,ratio", [("global_ratio", 0.05, 1.3), ("risk_ratio", 0.02, 2.0), ("prevalence_ratio", 0.1, 1.5)])
-def test_against_brute_force(spark, seed, metric, support, ratio):
+def test_against_brute_force(spark, monkeypatch, seed, packed, metric, support, ratio):
+    monkeypatch.setattr(lattice, "PACKED_VALUES", packed)
     rows = table(seed, weights=seed % 2 == 1)
     df = spark.createDataFrame(rows, SCHEMA)
     got = reported(diff(df, A, "o", support, ratio, metric, 3, "n"))
