@@ -14,8 +14,10 @@ candidates: a pair of similarity 0.8 shares one with probability 0.9994.
 
 Exact copies (equal words) become one node first. Nodes of a bucket are compared
 in rounds, each skipping pairs that are already in one class: each node with the
-first node of its largest bucket; then with those of its other buckets; then any
-pairs of a bucket that are left, but those that the triangle inequality rules out. So
+leader of its largest bucket (of its nodes the one with the most company in all its
+buckets); then with those of its other buckets; then any pairs of a bucket that are
+left, but those that the triangle inequality rules out, and those whose sketches (four
+bits a register) differ by four standard deviations more than those of similarity 0.8. So
 large groups of copies cost a few comparisons per node and no link is lost. For
 a comparison each text is sent once to its leader's group, in parts of at most
 ``PART`` texts, and no row holds two texts.
@@ -27,6 +29,7 @@ repeated rows are copies; an empty table gives no rows; further columns are igno
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +44,8 @@ THRESHOLD = 0.8
 SHINGLE = 5
 BANDS, ROWS = 40, 8
 PART = 256
+#: Texts (24 bytes each) whose list may be broadcast; a longer list is joined by shuffle.
+BROADCAST_TEXTS = 1_000_000
 
 _P = 0x100000001B3
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -111,6 +116,25 @@ def band_keys(owners: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mix64(out + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def sketches(owners: np.ndarray) -> np.ndarray:
+    """Four bits of each register, sixteen registers to a long."""
+    four = (mix64(owners) >> np.uint64(60)).reshape(len(owners), -1, 16)
+    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+
+
+def differing(x: str, y: str, longs: int = BANDS * ROWS // 16) -> Column:
+    """The number of registers on which two sketch columns differ."""
+    folded = [f"(get({x}, {i}) ^ get({y}, {i}))" for i in range(longs)]
+    folded = [f"({f} | shiftrightunsigned({f}, 1))" for f in folded]
+    return F.expr(" + ".join(f"bit_count(({f} | shiftrightunsigned({f}, 2)) & {0x1111111111111111}L)" for f in folded))
+
+
+def most_differing(threshold: float, registers: int = BANDS * ROWS) -> int:
+    """Four standard deviations above the mean for texts of just ``threshold``."""
+    p = (1 - threshold) * 15 / 16
+    return math.ceil(registers * p + 4 * math.sqrt(registers * p * (1 - p)))
+
+
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """The exact probability Jaccard."""
     common, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
@@ -134,19 +158,21 @@ def node_of(norm: Column) -> Column:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, node and band keys of every row, written once."""
+    """doc_id, node, band keys and sketch of every row, written once."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
             one = {k: t for k, t in zip(nodes, texts, strict=True) if k is not None}
-            keys = dict(zip(one, band_keys(signatures(list(one.values()))).view(np.int64).tolist(), strict=True)) if one else {}
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([keys.get(k) for k in nodes], pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            owners = signatures(list(one.values())) if one else np.zeros((0, BANDS * ROWS), np.uint64)
+            longs = [dict(zip(one, x.view(np.int64).tolist(), strict=True)) for x in (band_keys(owners), sketches(owners))]
+            lists = [pa.array([by.get(k) for k in nodes], pa.list_(pa.int64())) for by in longs]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["doc_id", "node", "bands", "sketch"])
 
     norm = normalised(text_or_empty())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm")).select("doc_id", node_of(F.col("norm")).alias("node"), "norm")
-    return checkpointed(rows.mapInArrow(run, "doc_id long, node binary, bands array<long>"))
+    return checkpointed(rows.mapInArrow(run, "doc_id long, node binary, bands array<long>, sketch array<long>"))
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -155,10 +181,16 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     dealt = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART)))
     members = dealt.select(F.col("a").alias("leader"), "part", F.lit(1).alias("role"), F.col("b").alias("node"))
     leaders = dealt.select(F.col("a").alias("leader"), "part", F.lit(0).alias("role"), F.col("a").alias("node")).distinct()
-    sent = members.union(leaders).join(nodes.select("node", F.col("doc_id").alias("_id")), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), normalised(text_or_empty()).alias("norm")).withColumn("_node", node_of(F.col("norm")))
-    rows = sent.join(texts, (F.col("node") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_doc")))
-    rows = rows.select("leader", "part", "role", "node", "norm").repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
+    sent = checkpointed(members.union(leaders))
+    wanted = checkpointed(sent.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("_id")), "node"))
+    wanted = wanted.withColumnRenamed("node", "_wanted")
+    small = wanted.count() <= BROADCAST_TEXTS
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), text_or_empty().alias("_text"))
+    # Only wanted texts are normalised, and, if the list is small enough to send, shuffled.
+    texts = texts.join(F.broadcast(wanted) if small else wanted, F.col("_doc").eqNullSafe(F.col("_id")))
+    texts = texts.select("_wanted", normalised(F.col("_text")).alias("norm")).where(node_of(F.col("norm")) == F.col("_wanted"))
+    rows = sent.join(texts, F.col("node") == F.col("_wanted")).select("leader", "part", "role", "node", "norm")
+    rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = held = None
@@ -176,11 +208,15 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, least doc_id, bands) and (node, root) of all nodes that are linked but not roots."""
-    nodes = checkpointed(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")))
+    """Nodes (node, least doc_id, bands, sketch) and (node, root) of all nodes that are linked but not roots."""
+    nodes = checkpointed(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = checkpointed(entries.join(buckets, "bucket"))
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    crowded = checkpointed(entries.join(sizes, "bucket"))
+    # The text that near copies stem from shares most buckets with them, so it leads.
+    fame = crowded.groupBy("node").agg(F.sum("n").alias("fame"))
+    leaders = crowded.join(fame, "node").groupBy("bucket").agg(F.max_by("node", F.struct("fame", "node")).alias("leader"))
+    shared = checkpointed(crowded.join(leaders, "bucket"))
     star = shared.where(F.col("node") != F.col("leader"))
 
     best = star.groupBy(F.col("node").alias("b")).agg(F.max_by("leader", F.struct("n", "leader")).alias("a")).select("a", "b")
@@ -207,10 +243,11 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> tup
     mixed = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
     near = seen.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("sim")).alias("far"))
     rest = member.join(mixed, "bucket", "left_semi").where(F.col("node") != F.col("leader")).join(near, ["leader", "node"], "left")
-    rest = checkpointed(rest.select("bucket", "node", "root", "far"))
-    left, right = (rest.select(F.col("bucket"), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "far")]) for s in "xy")
-    allowed = F.abs(F.col("far_x") - F.col("far_y")) <= 1 - threshold + 1e-9
-    cross = left.join(right, "bucket").where((F.col("root_x") < F.col("root_y")) & F.coalesce(allowed, F.lit(True)))
+    rest = checkpointed(rest.select("bucket", "node", "root", "far").join(nodes.select("node", "sketch"), "node"))
+    left, right = (rest.select(*[F.col(c).alias(f"{c}_{s}") for c in rest.columns]) for s in "xy")
+    allowed = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - threshold + 1e-9, F.lit(True))
+    alike = differing("sketch_x", "sketch_y") <= most_differing(threshold)
+    cross = left.join(right, (F.col("bucket_x") == F.col("bucket_y")) & (F.col("root_x") < F.col("root_y")) & allowed & alike)
     cross = cross.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     cross = checkpointed(cross.join(seen, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
@@ -237,10 +274,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class; rows without a word all stay."""
-    _, named = classes(docs, threshold)
-    kept = named.where(F.col("node") == F.col("keeper")).select(F.col("node").alias("_keeper"), F.col("class_id").alias("_class"))
-    rows = docs.withColumn("_node", node_of(normalised(text_or_empty())))
-    bare = rows.where(F.col("_node").isNull()).select(docs.columns)
-    first = rows.join(kept, (F.col("_node") == F.col("_keeper")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_class")))
-    return first.dropDuplicates(["doc_id", "_node"]).select(docs.columns).union(bare)
+    """``docs`` with one row of each class; rows without a word all stay.
+
+    Texts are shuffled only if the list of keepers is too long to send, or if a keeper's row is
+    repeated, id and all.
+    """
+    rows, named = classes(docs, threshold)
+    kept = checkpointed(named.where(F.col("node") == F.col("keeper")).select(F.col("node").alias("_keeper"), F.col("class_id").alias("_class")))
+    small = kept.count() <= BROADCAST_TEXTS
+    to = F.broadcast(kept) if small else kept
+    is_keeper = lambda r, key: (F.col(key) == F.col("_keeper")) & r["doc_id"].cast("long").eqNullSafe(F.col("_class"))
+    repeated = not rows.join(to, is_keeper(rows, "node")).groupBy("doc_id", "node").count().where(F.col("count") > 1).isEmpty()
+    marked = docs.withColumn("_node", node_of(normalised(text_or_empty())))
+    first = marked.join(to, is_keeper(marked, "_node"))
+    first = first.dropDuplicates(["doc_id", "_node"]) if repeated else first
+    return first.select(docs.columns).union(marked.where(F.col("_node").isNull()).select(docs.columns))
