@@ -29,6 +29,7 @@ repeated rows are copies; an empty table gives no rows; further columns are igno
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -178,7 +179,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` (a, b) of nodes with their similarity; written once."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART)))
+    dealt = checkpointed(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART)).alias("part")))
     members = dealt.select(F.col("a").alias("leader"), "part", F.lit(1).alias("role"), F.col("b").alias("node"))
     leaders = dealt.select(F.col("a").alias("leader"), "part", F.lit(0).alias("role"), F.col("a").alias("node")).distinct()
     sent = checkpointed(members.union(leaders))
@@ -188,7 +189,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), text_or_empty().alias("_text"))
     # Only wanted texts are normalised, and, if the list is small enough to send, shuffled.
     texts = texts.join(F.broadcast(wanted) if small else wanted, F.col("_doc").eqNullSafe(F.col("_id")))
-    texts = texts.select("_wanted", normalised(F.col("_text")).alias("norm")).where(node_of(F.col("norm")) == F.col("_wanted"))
+    texts = texts.select("_wanted", normalised(F.col("_text")).alias("norm"))
     rows = sent.join(texts, F.col("node") == F.col("_wanted")).select("leader", "part", "role", "node", "norm")
     rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
 
@@ -197,6 +198,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for leader, part, role, node, norm in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # Another text of the same doc_id. As a join condition this would hash every text of the corpus.
+                if hashlib.md5(norm.encode("utf-8")).digest() != node:
+                    continue
                 if not role:
                     key, held = (leader, part), shingles(norm)
                 elif key == (leader, part):
