@@ -247,11 +247,13 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> tup
     mixed = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
     near = seen.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("sim")).alias("far"))
     rest = member.join(mixed, "bucket", "left_semi").where(F.col("node") != F.col("leader")).join(near, ["leader", "node"], "left")
-    rest = checkpointed(rest.select("bucket", "node", "root", "far").join(nodes.select("node", "sketch"), "node"))
+    rest = checkpointed(rest.select("bucket", "node", "root", "far").join(nodes.select("node", "sketch", "bands"), "node"))
     left, right = (rest.select(*[F.col(c).alias(f"{c}_{s}") for c in rest.columns]) for s in "xy")
     allowed = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - threshold + 1e-9, F.lit(True))
     alike = differing("sketch_x", "sketch_y") <= most_differing(threshold)
-    cross = left.join(right, (F.col("bucket_x") == F.col("bucket_y")) & (F.col("root_x") < F.col("root_y")) & allowed & alike)
+    # Once per pair: in the first bucket that both share. If one of them leads that one, they have been compared.
+    once = F.col("bucket_x") == F.array_min(F.array_intersect("bands_x", "bands_y"))
+    cross = left.join(right, (F.col("bucket_x") == F.col("bucket_y")) & (F.col("root_x") < F.col("root_y")) & allowed & alike & once)
     cross = cross.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     cross = checkpointed(cross.join(seen, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
