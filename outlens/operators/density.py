@@ -62,6 +62,15 @@ def kernel_density(
     return df.withColumn(output, density(*[_x(c) for c in columns]))
 
 
+def on_grid(score, spark, ranges: dict[str, tuple[float, float]], steps: int = 20) -> DataFrame:
+    """A fitted score (a function of a relation) at the points of a regular grid, for plots."""
+    grid = spark.range(1).select()
+    for name, (low, high) in ranges.items():
+        at = F.explode(F.sequence(F.lit(0), F.lit(steps)))
+        grid = grid.select("*", at.alias(name)).withColumn(name, low + F.col(name) * ((high - low) / steps))
+    return score(grid)
+
+
 def bayesian_normal_score(df: DataFrame, column: str, output: str = "_SCORE") -> DataFrame:
     """One over the posterior predictive density (a t distribution) under a weak conjugate normal prior."""
     n, mean, var = df.agg(F.count(_x(column)), F.avg(_x(column)), F.var_pop(_x(column))).first()

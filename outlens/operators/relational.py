@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import quoted
+from ..runtime import quoted, ship_code
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -65,6 +65,18 @@ def natural_join(left: DataFrame, right: DataFrame, left_name: str = "left", rig
     return equi_join(left, right, keys, left_name, right_name, how)
 
 
+def item_counts(df: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """attribute, value and n: how many rows hold each value of each attribute. One aggregation for all attributes."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(quoted(a)).cast("string").alias("value")) for a in attributes]))
+    return df.select(pairs.alias("p")).groupBy("p.attribute", "p.value").agg(F.count("*").alias("n"))
+
+
+def by_group(df: DataFrame, keys: Sequence[str], transform: Callable, schema: str) -> DataFrame:
+    """``transform`` (pandas frame to pandas frame) on each group, in one task per group; for groups that fit in memory."""
+    ship_code(df.sparkSession)
+    return df.groupBy(*[F.col(quoted(k)) for k in keys]).applyInPandas(transform, schema)
+
+
 def pretty(df: DataFrame, rows: int = 20) -> str:
     """The first rows as a table, or one value a line for more than ten columns."""
     found = df.limit(rows).collect()

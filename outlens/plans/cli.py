@@ -8,6 +8,8 @@
 from __future__ import annotations
 
 import argparse
+import csv
+import io
 import json
 import sys
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -15,7 +17,8 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 from pyspark.sql import SparkSession
 
 from ..operators.relational import pretty
-from ..sources.files import write_csv
+from ..sources.files import preview, write_csv
+from ..sources.loaders import load_uri
 from .ast import Query
 from .lexer import SqlError, statements
 from .parser import parse
@@ -61,15 +64,58 @@ def answer(spark: SparkSession, body: str) -> str:
     return pipeline(Config.from_json(body)).run(spark).json()
 
 
+def schema_of(spark: SparkSession, request: dict) -> list[dict]:
+    """Names and types of a relation's columns."""
+    df = load_uri(spark, request["inputURI"])
+    return [{"name": n, "type": t} for n, t in df.dtypes]
+
+
+def rows_of(spark: SparkSession, request: dict) -> list[dict]:
+    """Rows with the given column values; at most ``limit``, 1000 unless said."""
+    df = preview(load_uri(spark, request["inputURI"]), request.get("columnValues") or {}, int(request.get("limit", 1000)), int(request.get("offset", 0)))
+    return [r.asDict() for r in df.collect()]
+
+
+def formatted(rows: list[dict], kind: str) -> str:
+    """Rows as JSON or CSV text."""
+    if kind.upper() == "JSON":
+        return json.dumps(rows, default=str)
+    if kind.upper() != "CSV":
+        raise ValueError(f"unknown format: {kind}")
+    out = io.StringIO()
+    writer = csv.DictWriter(out, list(rows[0]) if rows else [])
+    writer.writeheader()
+    writer.writerows(rows)
+    return out.getvalue()
+
+
+def respond(spark: SparkSession, path: str, body: str) -> str:
+    """The answer of the service to a request."""
+    if path in ("/query", "/analyze"):
+        return answer(spark, body)
+    request = json.loads(body)
+    if path == "/schema":
+        return json.dumps(schema_of(spark, request))
+    if path == "/rows":
+        return json.dumps(rows_of(spark, request), default=str)
+    if path == "/rows/multiple":
+        return json.dumps([rows_of(spark, request | {"columnValues": v}) for v in request["columnValues"]], default=str)
+    if path == "/rows/fmt":
+        return json.dumps({"result": formatted(rows_of(spark, request), request.get("returnType", "JSON"))})
+    raise FileNotFoundError(path)
+
+
 def server(spark: SparkSession, port: int = 4567, host: str = "127.0.0.1") -> HTTPServer:
     class Handler(BaseHTTPRequestHandler):
+        def do_PUT(self) -> None:
+            self.do_POST()
+
         def do_POST(self) -> None:
-            if self.path.rstrip("/") not in ("/query", "/analyze"):
-                self.send_error(404)
-                return
             body = self.rfile.read(int(self.headers.get("Content-Length", 0))).decode("utf-8")
             try:
-                status, text = 200, answer(spark, body)
+                status, text = 200, respond(spark, self.path.rstrip("/"), body)
+            except FileNotFoundError as e:
+                status, text = 404, json.dumps({"error": f"not found: {e}"})
             except Exception as e:  # the service goes on
                 status, text = 400, json.dumps({"error": str(e)})
             data = text.encode()

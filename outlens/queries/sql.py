@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.relational import filter_rows, project, union_all
+from ..operators.relational import by_group, filter_rows, item_counts, project, union_all
 from ..sources.files import preview, read_csv, write_csv
 from ..sources.loaders import cached, load_uri
 from .explain import query, rounded, session, table
@@ -75,6 +75,19 @@ def source_preview(spark, d):
     return preview(table(spark, d, "part"), {"p_brand": "Brand#11"}, 7).agg(F.count("*").alias("n"))
 
 
+@query("SELECT 'o_orderstatus' AS attribute, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+def item_count(spark, d):
+    return item_counts(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT o_orderstatus, round(max(o_totalprice) - min(o_totalprice), 6) AS spread FROM orders GROUP BY 1")
+def group_transform(spark, d):
+    def spread(rows):
+        return rows.groupby("o_orderstatus", as_index=False).agg(spread=("o_totalprice", lambda x: round(x.max() - x.min(), 6)))
+
+    return by_group(table(spark, d, "orders").select("o_orderstatus", "o_totalprice"), ["o_orderstatus"], spread, "o_orderstatus string, spread double")
+
+
 def _shared_folder(spark) -> str:
     """A new folder that the executors share."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -235,6 +235,11 @@ def test_pipelines_and_service(spark, tmp_path):
     url = f"http://127.0.0.1:{http.server_port}/query"
     body = json.loads(urllib.request.urlopen(urllib.request.Request(url, json.dumps(config).encode()), timeout=60).read())
     assert body["outliers"] == 20.0 and body["results"][0]["matcher"] == {"place": "P"}
+    ask = lambda path, **x: json.loads(urllib.request.urlopen(urllib.request.Request(url.replace("/query", path), json.dumps({"inputURI": f"csv://{tmp_path}/t.csv"} | x).encode()), timeout=60).read())
+    assert [c["name"] for c in ask("/schema")] == ["x", "place", "kind"]
+    assert len(ask("/rows", columnValues={"place": "P"}, limit=5)) == 5
+    assert [len(x) for x in ask("/rows/multiple", columnValues=[{"place": "P"}, {"place": "none"}])] == [20, 0]
+    assert ask("/rows/fmt", columnValues={"place": "P"}, limit=1, returnType="csv")["result"].startswith("x,place,kind")
     bad = urllib.request.Request(url, b"{}")
     with pytest.raises(urllib.error.HTTPError):
         urllib.request.urlopen(bad, timeout=60)
