@@ -29,6 +29,9 @@ SETS_AT_ONCE = 60
 PACKED_VALUES = 200_000
 #: Bits of a value's number in a packed combination.
 BITS = 21
+#: Rows that may be settled on the driver. The support bounds them beforehand: at most 1 / support
+#: values of an attribute, or of a set of attributes, reach it.
+LOCAL_ROWS = 20_000
 
 
 def _passes(metrics: Sequence[Metric], monotone_only: bool) -> Column:
@@ -40,13 +43,20 @@ def _passes(metrics: Sequence[Metric], monotone_only: bool) -> Column:
     return out
 
 
-def _packed(base: DataFrame, values: DataFrame, names: list[str], sets: list[tuple[str, ...]], sums: list[Column]) -> DataFrame:
+def _settled(df: DataFrame, most: float) -> DataFrame:
+    """``df`` computed once: held by the driver if it can have no more than a few rows, else written."""
+    if most > LOCAL_ROWS:
+        return checkpointed(df)
+    return df.sparkSession.createDataFrame(df.collect(), df.schema, verifySchema=False)
+
+
+def _packed(base: DataFrame, values: DataFrame, names: list[str], sets: list[tuple[str, ...]], sums: list[Column], most: float) -> DataFrame:
     """Sums of the pairs and triples of ``values`` (_a: attribute number, _v: value), one long per combination.
 
     Numbers start at 1 and ascend with the attributes, so pairs and triples never collide.
     """
     numbered = values.withColumn("_id", F.row_number().over(Window.orderBy("_a", "_v")).cast("long"))
-    numbered = F.broadcast(checkpointed(numbered))
+    numbered = F.broadcast(_settled(numbered, most))
     rows = base
     ids = {n: F.col(f"_i{k}") for k, n in enumerate(names)}
     for k, n in enumerate(names):
@@ -145,14 +155,19 @@ def explain(
             out = out.union(p)
         return out
 
-    singles = checkpointed(judged(grouped(base, [(n,) for n in names])))
+    share = max([m.threshold for m in metrics if m.monotone], default=0.0)
+    most = lambda sets: len(sets) / share if share > 0 else float("inf")
+    singles = _settled(judged(grouped(base, [(n,) for n in names])), most(names))
     found = singles.where("_keep")
     sets = [s for k in range(2, max_order + 1) for s in sets_of(k)]
     if sets:
         growing = singles.where(~F.col("_keep"))
         values = growing.select(F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(i)) for i, n in enumerate(names)]).alias("_a"), F.coalesce(*names).alias("_v"))
-        n_values = growing.count()
-        larger = checkpointed(judged(_packed(base, values, names, sets, sums) if n_values <= PACKED_VALUES else _by_sets(base, values, names, sets, sums, grouped)))
+        if most(names) <= PACKED_VALUES or growing.count() <= PACKED_VALUES:
+            larger = _packed(base, values, names, sets, sums, most(names))
+        else:
+            larger = _by_sets(base, values, names, sets, sums, grouped)
+        larger = _settled(judged(larger), most(sets))
         found = found.union(larger.where(F.col("_keep") & (F.col("_order") == 2)))
         if max_order > 2:
             found = found.union(_with_growing_pairs(larger, names))

@@ -24,6 +24,7 @@ SQL: dict[str, tuple[str, tuple[str, ...], str | None]] = {
     "sql_arithmetic": ("SELECT l_orderkey, l_linenumber, l_quantity * 2 + 1 AS twice, -l_quantity AS less FROM lineitem WHERE l_quantity % 7 = 3 AND l_extendedprice / l_quantity > 1000", ("lineitem",), None),
     "sql_orderby_limit": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", ("orders",), None),
     "sql_subquery": ("SELECT o_orderkey FROM (SELECT * FROM orders WHERE o_totalprice > 200000) big WHERE o_orderpriority = '2-HIGH'", ("orders",), None),
+    "sql_in_query": ("SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000.0) AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1.0)", ("customer", "orders", "nation"), None),
     "sql_distinct": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", ("orders",), None),
     "sql_unknown_columns": ("SELECT o_orderkey, nothing FROM orders WHERE o_totalprice < 2000", ("orders",), "SELECT o_orderkey FROM orders WHERE o_totalprice < 2000"),
     "sql_alias_table": ("SELECT x.c_custkey, c_acctbal AS balance FROM customer AS x WHERE x.c_acctbal < 0", ("customer",), None),

@@ -33,7 +33,8 @@ def reported(df):
 @pytest.mark.parametrize("packed", [lattice.PACKED_VALUES, 0])
 @pytest.mark.parametrize("metric,support,ratio", [("global_ratio", 0.05, 1.3), ("risk_ratio", 0.02, 2.0), ("prevalence_ratio", 0.1, 1.5)])
 def test_against_brute_force(spark, monkeypatch, seed, packed, metric, support, ratio):
-    monkeypatch.setattr(lattice, "PACKED_VALUES", packed)
+    monkeypatch.setattr(lattice, "PACKED_VALUES", packed or -1)
+    monkeypatch.setattr(lattice, "LOCAL_ROWS", packed)
     rows = table(seed, weights=seed % 2 == 1)
     df = spark.createDataFrame(rows, SCHEMA)
     got = reported(diff(df, A, "o", support, ratio, metric, 3, "n"))
