@@ -8,8 +8,8 @@ stretches cost as much as a rare letter each), the path is split at marks, digit
 becoming one token, and multinomial naive Bayes with add-one smoothing compares the
 classes. It is trained on all urls that a rule decides.
 
-The models that reach the driver are bounded by parameters: the ``VOCABULARY`` most
-frequent words and the ``FEATURES`` most frequent tokens; all counts cover all rows.
+The models that reach the driver are bounded by parameters: at most ``VOCABULARY`` of the most
+frequent words and ``FEATURES`` of the most frequent tokens; all counts cover all rows.
 
 Defined results: a null url or one without ``://`` has an empty host and path; it fits
 no rule and has no token, so the prior decides; if a class was never seen (or no url
@@ -63,12 +63,28 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumns({"rule": nothing if rule is None else rule, "ruled": nothing if verdict is None else verdict})
 
 
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """At most ``size`` rows of the largest ``n``: whole classes of an eighth of a doubling each.
+
+    The classes (a few hundred) are counted first, so no task or driver holds more than the result.
+    """
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    per_level = sorted(((r.level, r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
+    least, held = math.inf, 0
+    for at, n in per_level:
+        held += n
+        if held > size:
+            break
+        least = at
+    return counts.where(level >= least) if least < math.inf else counts.where(F.lit(False))
+
+
 def vocabulary(pages: DataFrame, size: int = VOCABULARY) -> dict[str, float]:
     """Log probability of the most frequent words of all page texts (tags, scripts and styles dropped)."""
     bare = F.regexp_replace(F.lower("html"), r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(bare, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(1, LONGEST_WORD))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()  # at most ``size`` rows
+    top = most_frequent(counts, size).collect()
     total = sum(r.n for r in top)
     return {r.word: math.log(r.n / total) for r in top}
 
@@ -154,7 +170,7 @@ def judge(pages: DataFrame, rules=RULES, vocabulary_size: int = VOCABULARY, feat
 
     taught = rows.where(F.col("ruled").isNotNull()).select("ruled", "host", "path").mapInArrow(segmented, "kind string, tokens array<string>")
     counts = taught.select("kind", F.explode("tokens").alias("token")).groupBy("token").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("allow", "block")])
-    top = counts.orderBy(F.desc(F.col("allow") + F.col("block")), "token").limit(features).collect()  # at most ``features`` rows
+    top = most_frequent(counts.withColumn("n", F.col("allow") + F.col("block")), features).collect()
     priors = {r.ruled: r["count"] for r in rows.where(F.col("ruled").isNotNull()).groupBy("ruled").count().collect()}  # two rows
     model = spark.sparkContext.broadcast(Bayes([(r.token, k, r[k]) for r in top for k in ("allow", "block")], priors))
 
