@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import checkpointed, ship_code
 
-__all__ = ["SPACES", "checkpointed", "mix64", "prepare", "ship_code", "table", "text_or_empty", "unit_open", "words_of"]
+__all__ = ["SPACES", "checkpointed", "drop_held", "held", "mix64", "prepare", "ship_code", "table", "text_or_empty", "unit_open", "words_of"]
 
 #: Text rows per Arrow batch: a worker holds one batch, so this bounds its memory.
 TEXT_BATCH_ROWS = 500
@@ -29,6 +31,23 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
+#: What a Python worker keeps between tasks: the tables of one operator at a time.
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """The worker's object of this key, made once; objects of other operators go, as an executor's memory is shared."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def drop_held() -> None:
+    """For operators that keep nothing between tasks."""
+    _HELD.clear()
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

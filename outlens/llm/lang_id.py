@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, prepare
+from .common import drop_held, mix64, prepare
 
 SAMPLE_ROWS = 2_000
 GRAMS = 20_000
@@ -144,6 +144,7 @@ def judged(docs: DataFrame, model: Filter) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
+        drop_held()
         return pd.DataFrame([shared.value.judge(t) for t in texts], columns=["lang_pred", "score"])
 
     return docs.withColumn("_judged", judge("text"))

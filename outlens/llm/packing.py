@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import held, prepare
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -112,14 +112,9 @@ class WordIds:
         return [ids[a:b] for a, b in zip(np.append(0, cuts[:-1]), cuts, strict=True)]
 
 
-#: By tokenizer file: a worker's memo outlives its tasks.
-_WORKER: dict[str, WordIds] = {}
-
-
 def worker_ids(path: str) -> WordIds:
-    if path not in _WORKER:
-        _WORKER[path] = WordIds(path)
-    return _WORKER[path]
+    """The worker's memo, which outlives its tasks."""
+    return held(("ids", path), lambda: WordIds(path))
 
 
 class Packer:

@@ -18,11 +18,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import drop_held, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -194,6 +195,7 @@ def find(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             cols: list[list] = [[] for _ in names]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -229,7 +231,8 @@ def redact(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
 
     @F.pandas_udf("string")
-    def masked(texts):
+    def masked(texts: pd.Series) -> pd.Series:
+        drop_held()
         return texts.map(lambda t: t if t is None else mask(t))
 
     out = docs.withColumn("text", masked("text"))

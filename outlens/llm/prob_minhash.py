@@ -38,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, prepare, text_or_empty, unit_open, words_of
+from .common import checkpointed, drop_held, mix64, prepare, text_or_empty, unit_open, words_of
 from .components import components
 
 THRESHOLD = 0.8
 SHINGLE = 5
 BANDS, ROWS = 40, 8
 PART = 256
+PORTION = 1_000_000
 #: Texts (24 bytes each) whose list may be broadcast; a longer list is joined by shuffle.
 BROADCAST_TEXTS = 1_000_000
 
@@ -109,6 +110,19 @@ def signatures(texts: list[str], registers: int = BANDS * ROWS) -> np.ndarray:
     return owner.reshape(len(texts), registers)
 
 
+def _portions(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in their order, by about ``PORTION`` characters: working arrays take some hundred bytes a word."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def band_keys(owners: np.ndarray, bands: int = BANDS) -> np.ndarray:
     rows = owners.shape[1] // bands
     out = np.zeros((len(owners), bands), np.uint64)
@@ -163,10 +177,12 @@ def _rows(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for b in batches:
             nodes, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
             one = {k: t for k, t in zip(nodes, texts, strict=True) if k is not None}
-            owners = signatures(list(one.values())) if one else np.zeros((0, BANDS * ROWS), np.uint64)
+            parts = [signatures(t) for t in _portions(list(one.values()))]
+            owners = np.concatenate(parts) if parts else np.zeros((0, BANDS * ROWS), np.uint64)
             longs = [dict(zip(one, x.view(np.int64).tolist(), strict=True)) for x in (band_keys(owners), sketches(owners))]
             lists = [pa.array([by.get(k) for k in nodes], pa.list_(pa.int64())) for by in longs]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["doc_id", "node", "bands", "sketch"])
@@ -194,7 +210,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = held = None
+        drop_held()
+        key = leading = None
         for batch in batches:
             out: list[tuple] = []
             for leader, part, role, node, norm in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -202,9 +219,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 if hashlib.md5(norm.encode("utf-8")).digest() != node:
                     continue
                 if not role:
-                    key, held = (leader, part), shingles(norm)
+                    key, leading = (leader, part), shingles(norm)
                 elif key == (leader, part):
-                    out.append((leader, node, similarity(held, shingles(norm))))
+                    out.append((leader, node, similarity(leading, shingles(norm))))
             a, b, s = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s, pa.float64())], names=["a", "b", "sim"])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, prepare, unit_open
+from .common import held, mix64, prepare, unit_open
 
 BLANK = "▁"
 #: Scores are ranks in this model; their weight is tempered.
@@ -245,14 +245,9 @@ class Lattice:
         return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "surrogatepass")[1:]
 
 
-#: By model file and weight: a worker's tables outlive its tasks.
-_WORKER: dict[tuple[str, float], Lattice] = {}
-
-
 def compiled(path: str, alpha: float = ALPHA) -> Lattice:
-    if (path, alpha) not in _WORKER:
-        _WORKER[path, alpha] = Lattice(path, alpha)
-    return _WORKER[path, alpha]
+    """The worker's tables, which outlive its tasks."""
+    return held(("lattice", path, alpha), lambda: Lattice(path, alpha))
 
 
 def segment(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed: int = SEED, with_ids: bool = True) -> DataFrame:

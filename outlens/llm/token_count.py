@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import held, prepare
 
 #: Characters of a chunk.
 CHUNK = 1 << 15
@@ -180,14 +180,9 @@ class Transducer:
         return total
 
 
-#: By tokenizer file: a worker's compiled transducer outlives its tasks.
-_WORKER: dict[str, Transducer] = {}
-
-
 def compiled(path: str) -> Transducer:
-    if path not in _WORKER:
-        _WORKER[path] = Transducer(path)
-    return _WORKER[path]
+    """The worker's transducer, which outlives its tasks."""
+    return held(("transducer", path), lambda: Transducer(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
