@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -24,7 +25,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
             where = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _free_shuffles(context)
+    return out
+
+
+#: Seconds between two collections.
+_PAUSE = 2.0
+_last = 0.0
+
+
+def _free_shuffles(context) -> None:
+    """Let Spark delete the shuffle files behind checkpoints: it does so once the driver's garbage is collected, which may be hours away."""
+    global _last
+    if time.monotonic() - _last >= _PAUSE:
+        context._jvm.System.gc()
+        _last = time.monotonic()
 
 
 def ship_code(spark: SparkSession) -> None:
