@@ -254,9 +254,11 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> tup
 
     others = checkpointed(apart(star.select(F.col("leader").alias("a"), F.col("node").alias("b"))))
     if not others.isEmpty():
-        seen = checkpointed(seen.union(_verified(docs, nodes, others)))
+        more = _verified(docs, nodes, others)
+        seen = seen.union(more)
         linked = seen.where(F.col("sim") >= threshold)
-        roots = components(linked)
+        if not more.where(F.col("sim") >= threshold).isEmpty():
+            roots = components(linked)
 
     # Buckets that still hold several classes: all pairs across classes that the leader's distances allow.
     classes = roots.select("node", "root")
@@ -274,8 +276,9 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> tup
     cross = cross.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     cross = checkpointed(cross.join(seen, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
-        more = _verified(docs, nodes, cross)
-        roots = components(linked.union(more.where(F.col("sim") >= threshold)))
+        more = _verified(docs, nodes, cross).where(F.col("sim") >= threshold)
+        if not more.isEmpty():
+            roots = components(linked.union(more))
     return nodes, roots
 
 
