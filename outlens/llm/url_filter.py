@@ -8,8 +8,11 @@ stretches cost as much as a rare letter each), the path is split at marks, digit
 becoming one token, and multinomial naive Bayes with add-one smoothing compares the
 classes. It is trained on all urls that a rule decides.
 
-The models that reach the driver are bounded by parameters: at most ``VOCABULARY`` of the most
-frequent words and ``FEATURES`` of the most frequent tokens; all counts cover all rows.
+All words and all tokens count, however rare; their counts stay in tables. A url is made of units
+(runs of letters or digits of its host or path), and only distinct units are segmented and scored, by
+joins of their substrings with the words and of their tokens with the log odds. The log odds of the
+most frequent units, ``FEATURES`` at most, are broadcast, and urls with other units look these up by
+a join: the parameter moves work between the two and changes no result.
 
 Defined results: a null url or one without ``://`` has an empty host and path; it fits
 no rule and has no token, so the prior decides; if a class was never seen (or no url
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import checkpointed, prepare
 
 #: (verdict, host, path)
 RULES = (
@@ -37,9 +40,13 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-VOCABULARY = 50_000
 FEATURES = 100_000
 LONGEST_WORD = 24
+#: Words of up to ``SHORT`` letters lie in many names: their join is dealt over ``SALTS`` keys each.
+SHORT = 4
+SALTS = 16
+#: Substrings of names per Arrow batch.
+SUBSTRINGS = 20_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -63,38 +70,46 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumns({"rule": nothing if rule is None else rule, "ruled": nothing if verdict is None else verdict})
 
 
-def most_frequent(counts: DataFrame, size: int) -> DataFrame:
-    """At most ``size`` rows of the largest ``n``: whole classes of an eighth of a doubling each.
+def level(n: Column) -> Column:
+    """The class of a count: an eighth of a doubling."""
+    return F.floor(F.log2(n.cast("double")) * 8)
+
 
-    The classes (a few hundred) are counted first, so no task or driver holds more than the result.
+def least_level(counts: DataFrame, size: int) -> float:
+    """The lowest class down to which ``counts`` has at most ``size`` rows; infinite if the top class has more.
+
+    The classes (a few hundred) are counted, so no task or driver holds more than the result.
     """
-    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    per_level = sorted(((r.level, r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
+    per_level = sorted(((r.level, r["count"]) for r in counts.groupBy(level(F.col("n")).alias("level")).count().collect()), reverse=True)
     least, held = math.inf, 0
     for at, n in per_level:
         held += n
         if held > size:
             break
         least = at
-    return counts.where(level >= least) if least < math.inf else counts.where(F.lit(False))
+    return least
+
+
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """At most ``size`` rows of the largest ``n``, in whole classes; the others are for a join."""
+    least = least_level(counts, size)
+    return counts.where(level(F.col("n")) >= least) if least < math.inf else counts.where(F.lit(False))
 
 
-def vocabulary(pages: DataFrame, size: int = VOCABULARY) -> dict[str, float]:
-    """Log probability of the most frequent words of all page texts (tags, scripts and styles dropped)."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """word, n: all words of all page texts (tags, scripts and styles dropped)."""
     bare = F.regexp_replace(F.lower("html"), r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(bare, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(1, LONGEST_WORD))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    top = most_frequent(counts, size).collect()
-    total = sum(r.n for r in top)
-    return {r.word: math.log(r.n / total) for r in top}
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
     """The most probable split of a name into words; ties go to the longer last word."""
 
-    def __init__(self, logs: dict[str, float]):
+    def __init__(self, logs: dict[str, float], least: float | None = None):
+        """``least``: the log probability of the rarest word, if ``logs`` holds some words only."""
         self.logs = logs
-        self.unknown = min(logs.values(), default=0.0) - math.log(30)
+        self.unknown = (min(logs.values(), default=0.0) if least is None else least) - math.log(30)
         self.memo: dict[str, list[str]] = {}
 
     def split(self, name: str) -> list[str]:
@@ -123,12 +138,18 @@ class Segmenter:
         return words[::-1]
 
 
-_PATH_PARTS = re.compile(r"[^\W\d_]+|\d+")
+_PARTS = re.compile(r"[^\W\d_]+|\d+")
+
+
+def units(host: str, path: str) -> list[str]:
+    """The runs of letters or digits of a url; those of the host are not segmented yet."""
+    named = ["h:" + ("<num>" if t.isdigit() else t) for t in _PARTS.findall(host)]
+    return named + ["p:" + ("<num>" if t.isdigit() else t.lower()) for t in _PARTS.findall(path)]
 
 
 def tokens(host: str, path: str, split) -> list[str]:
     out = [f"h:{w}" for label in host.split(".") for w in split(label)]
-    return out + [f"p:{'<num>' if t.isdigit() else t.lower()}" for t in _PATH_PARTS.findall(path)]
+    return out + [f"p:{'<num>' if t.isdigit() else t.lower()}" for t in _PARTS.findall(path)]
 
 
 class Bayes:
@@ -155,31 +176,119 @@ class Bayes:
         return score
 
 
-def judge(pages: DataFrame, rules=RULES, vocabulary_size: int = VOCABULARY, features: int = FEATURES) -> DataFrame:
+def with_units(rows: DataFrame) -> DataFrame:
+    """kind (the verdict of a rule, or null) and units of every url."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [units(h, p) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["kind", "units"])
+
+    return rows.select("ruled", "host", "path").mapInArrow(cut, "kind string, units array<string>")
+
+
+def salted_join(many: DataFrame, once: DataFrame, key: str) -> DataFrame:
+    """Left join of ``many`` with ``once`` (unique keys), dealt over several keys where the key is short."""
+    salts = F.when(F.length(key) <= SHORT, SALTS).otherwise(1)
+    many = many.withColumn("salt", F.pmod(F.xxhash64("unit"), salts).cast("int"))
+    return many.join(once.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), [key, "salt"], "left").drop("salt")
+
+
+SUMS = ("allow", "block", "n")
+
+
+def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
+    """``names`` (unit, allow, block, n; units of hosts) with their tokens; ``words`` is checkpointed."""
+    total, least = words.agg(F.sum("n"), F.min("n")).first()
+    lowest = math.log(least / total) if total else 0.0
+    schema = "unit string, allow long, block long, n long"
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(b: pa.RecordBatch, at: list[int], found: list[str]) -> pa.RecordBatch:
+            same = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays([*(c.take(same) for c in b.columns), pa.array(found, pa.string())], names=[*b.schema.names, "word"])
+
+        for b in batches:
+            at, found = [], []
+            for i, unit in enumerate(b.column(0).to_pylist()):
+                for begin in range(2, len(unit)):
+                    ends = range(begin + 1, min(begin + LONGEST_WORD, len(unit)) + 1)
+                    found += [unit[begin:end] for end in ends]
+                    at += [i] * len(ends)
+                    if len(found) >= SUBSTRINGS:
+                        yield made(b, at, found)
+                        at, found = [], []
+            yield made(b, at, found)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for unit, known in zip(b.column("unit").to_pylist(), b.column("known").to_pylist(), strict=True):
+                words = Segmenter({w["word"]: math.log(w["seen"] / total) for w in known}, lowest).split(unit[2:])
+                found.append([f"h:{w}" for w in words])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.list_(pa.string()))], names=["unit", *SUMS, "tokens"])
+
+    parts = names.select("unit", *SUMS).mapInArrow(substrings, schema + ", word string")
+    met = salted_join(parts, words.select("word", F.col("n").alias("seen")), "word")
+    known = F.collect_list(F.when(F.col("seen").isNotNull(), F.struct("word", "seen"))).alias("known")
+    return met.groupBy("unit", *SUMS).agg(known).mapInArrow(split, schema + ", tokens array<string>")
+
+
+def unit_odds(counts: DataFrame, words: DataFrame) -> DataFrame:
+    """unit, n and odds (log odds of block, summed over its tokens; tokens never taught say nothing).
+
+    ``counts`` (checkpointed): unit, allow and block (urls with a rule) and n (all urls), with multiplicity.
+    """
+    is_name = F.col("unit").startswith("h:") & (F.col("unit") != "h:<num>")
+    names = checkpointed(segmented(counts.where(is_name), words))
+    plain = counts.where(~is_name)
+    parts = names.select("unit", "allow", "block", F.posexplode("tokens").alias("at", "token"))
+    found = parts.groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    taught = (F.col("allow") + F.col("block")) > 0
+    seen = found.unionByName(plain.select(F.col("unit").alias("token"), "allow", "block")).where(taught)
+    size, allow, block = seen.agg(F.count("*"), F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first()
+    log = lambda kind, total: F.log((F.col(kind) + 1) / F.lit(float(max(1, total + size))))
+    odds = F.when(taught, log("block", block) - log("allow", allow)).otherwise(F.lit(0.0)).alias("odds")
+    by_token = salted_join(parts.select("unit", "at", "token"), found.select("token", odds), "token")
+    # Summed in the order of the name: the same sum each time.
+    in_order = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "odds"))), F.lit(0.0), lambda total, x: total + x["odds"])
+    summed = by_token.groupBy("unit").agg(in_order.alias("odds")).join(names.select("unit", "n"), "unit").select("unit", "n", "odds")
+    return summed.unionByName(plain.select("unit", "n", odds))
+
+
+def judge(pages: DataFrame, rules=RULES, features: int = FEATURES) -> DataFrame:
     """page_id, host, path, rule, verdict and odds (the method's log odds of block) for every row."""
     spark = pages.sparkSession
     prepare(spark)
-    split_by = spark.sparkContext.broadcast(vocabulary(pages, vocabulary_size))
     rows = ruled(pages, rules)
-
-    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Segmenter(split_by.value).split
-        for b in batches:
-            found = [tokens(h, p, split) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["kind", "tokens"])
-
-    taught = rows.where(F.col("ruled").isNotNull()).select("ruled", "host", "path").mapInArrow(segmented, "kind string, tokens array<string>")
-    counts = taught.select("kind", F.explode("tokens").alias("token")).groupBy("token").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("allow", "block")])
-    top = most_frequent(counts.withColumn("n", F.col("allow") + F.col("block")), features).collect()
+    per_kind = [F.count_if(F.col("kind") == k).alias(k) for k in ("allow", "block")]
+    counts = with_units(rows).select("kind", F.explode("units").alias("unit")).groupBy("unit").agg(*per_kind, F.count("*").alias("n"))
     priors = {r.ruled: r["count"] for r in rows.where(F.col("ruled").isNotNull()).groupBy("ruled").count().collect()}  # two rows
-    model = spark.sparkContext.broadcast(Bayes([(r.token, k, r[k]) for r in top for k in ("allow", "block")], priors))
+    model = checkpointed(unit_odds(checkpointed(counts), checkpointed(word_counts(pages))))
+    both = sorted(priors) == ["allow", "block"]
+    prior = math.log(priors["block"] / sum(priors.values())) - math.log(priors["allow"] / sum(priors.values())) if both else 0.0
+    least = least_level(model, features)
+    shared = spark.sparkContext.broadcast({r.unit: r.odds for r in most_frequent(model, features).collect()})  # at most ``features`` rows
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, bayes = Segmenter(split_by.value).split, model.value
+        known = shared.value
         for b in batches:
-            odds = [bayes.block_odds(tokens(h, p, split)) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(odds, pa.float64())], names=[*b.schema.names, "odds"])
-
-    out = rows.mapInArrow(scored, f"page_id {pages.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, ruled string, odds double")
-    method = F.when(F.col("odds") > 0, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "odds")
+            found = [units(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
+            odds = pa.array([sum((known[u] for u in us if u in known), prior) for us in found], pa.float64())
+            rare = pa.array([[u for u in us if u not in known] for us in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, odds, rare], names=[*b.schema.names, "odds", "rare"])
+
+    columns = ["page_id", "host", "path", "rule", "ruled"]
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, ruled string"
+    out = rows.mapInArrow(scored, f"{schema}, odds double, rare array<string>")
+    others = model if least == math.inf else model.where(level(F.col("n")) < least)
+    if others.isEmpty():
+        out = out.drop("rare")
+    else:
+        each = out.where(F.size("rare") > 0).withColumn("row", F.monotonically_increasing_id()).select("row", *columns, "odds", F.posexplode("rare").alias("at", "unit"))
+        met = each.join(others.select("unit", F.col("odds").alias("more")), "unit")
+        in_order = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "more"))), F.col("odds"), lambda total, x: total + x["more"])
+        looked_up = met.groupBy("row", *columns, "odds").agg(in_order.alias("sum")).select(*columns, F.col("sum").alias("odds"))
+        out = out.where(F.size("rare") == 0).drop("rare").unionByName(looked_up)
+    method = F.when(F.col("odds") > 0 if both else F.lit(False), "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), F.col("odds") if both else F.lit(0.0).alias("odds"))

@@ -77,6 +77,27 @@ def test_most_frequent_is_bounded(spark):
     assert url_filter.most_frequent(spark.createDataFrame([("a", 1), ("b", 1)], "word string, n long"), 1).count() == 0
 
 
+def test_all_words_and_tokens_count(spark):
+    """More words seen once than any model held, and few units by broadcast: as if all counts were in memory."""
+    letters = "abcdefghij"
+    rare = ["".join(letters[int(c)] for c in f"{i:05d}") + "q" for i in range(60_000)]
+    rows = [(i, f"http://{'slotparlour' if i % 2 else 'quietmeadow'}x{i % 7}.{'net/es' if i % 2 else 'com'}/p{letters[i % 9]}/{i}", " ".join(rare[i * 1000 : i * 1000 + 1000]), "") for i in range(60)]
+    rows += [(100, "http://parlour.org/p/1", "<p>slot parlour quiet meadow</p>", ""), (101, "http://meadowslot.org/pb/odd", "", ""), (101, "http://meadowslot.org/pb/odd", "", "")]
+    df = spark.createDataFrame(rows, PAGES).repartition(3)
+    words = Counter(w for r in rows for w in re.findall(r"[a-z]+", re.sub("<[^>]*>", " ", r[2])))
+    split = url_filter.Segmenter({w: math.log(n / words.total()) for w, n in words.items()}).split
+    tokens = {r[1]: url_filter.tokens(*re.match(r"http://([^/]*)(.*)", r[1]).groups(), split) for r in rows}
+    kinds = ["block" if ".net/es/" in r[1] else "allow" for r in rows[:60]]
+    taught = Counter((t, k) for r, k in zip(rows[:60], kinds, strict=True) for t in tokens[r[1]])
+    bayes = url_filter.Bayes([(t, k, n) for (t, k), n in taught.items()], Counter(kinds))
+    want = sorted((r[0], bayes.block_odds(tokens[r[1]])) for r in rows)
+    for features in (url_filter.FEATURES, 5, 0):
+        got = sorted((r.page_id, r.odds) for r in url_filter.judge(df, features=features).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in want])
+    assert tokens["http://meadowslot.org/pb/odd"][:2] == ["h:meadow", "h:slot"]
+
+
 def test_language_accuracy_on_held_out(spark, sf, docs):
     got = lang_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
     right, n = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
