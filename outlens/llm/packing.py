@@ -2,13 +2,14 @@
 
 A document's ids (tokenizer ids, then the end id 1) lose their whole windows of
 2048 first. The remainder is routed to the shortest context tier that holds it
-(256, 512, 1024, 2048). Each pool of remainders is packed tier by tier: the
-longest remainders open windows, the gap of a window is filled best-fit from the
-same and the shorter tiers, and what is still open takes the head of the next
-remainder. Only the end of a partition leaves an unfilled window; its tokens are
-cut into sequences whose lengths are powers of two, which need no padding.
-Sequences of a pool are dealt to step groups so that the groups have near equal
-attention cost (the sum of squared piece lengths).
+(256, 512, 1024, 2048). Each pool of remainders is packed tier by tier, from the
+longest: the longest remainders of a tier open windows of its length, the gap of a
+window is filled best-fit from the same and the shorter tiers, and what is still
+open takes the head of the next remainder. Only the end of a partition leaves an
+unfilled window; its tokens are cut into sequences whose lengths are powers of two,
+which need no padding. The sequences of each tier of a pool are dealt to step groups
+so that the groups have as many of them and near equal attention cost (the sum of
+squared piece lengths).
 
 Each partition packs its own rows in one streaming pass: no shuffle, memory
 bounded by one pool plus one document, and a lost task repeats alone with the same
@@ -39,7 +40,7 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 #: A pool is packed once it holds so many tokens.
 POOL_TOKENS = 1 << 19
-#: Sequences of one optimiser step.
+#: Windows whose tokens make one optimiser step.
 STEP_GROUP = 8
 #: Units whose ids a worker keeps; beyond it the memo starts anew.
 MEMO_UNITS = 1_000_000
@@ -148,16 +149,16 @@ class Packer:
         to.append(rows)
 
     def _number(self, sequences: list[list[tuple]]) -> None:
-        """Ids and step groups; the costliest sequences are dealt out first, to and fro."""
+        """Ids and step groups; per tier, the costliest sequences are dealt out first, to and fro."""
         cost = [sum(len(r[2]) ** 2 for r in rows) for rows in sequences]
-        order = sorted(range(len(sequences)), key=lambda i: (-cost[i], i))
-        groups = max(1, -(-len(sequences) // STEP_GROUP))
+        sizes = [sum(len(r[2]) for r in rows) for rows in sequences]
+        tiers = [TIERS[bisect.bisect_left(TIERS, size)] for size in sizes]
+        order = sorted(range(len(sequences)), key=lambda i: (-tiers[i], -cost[i], i))
+        groups = max(1, -(-sum(sizes) // (STEP_GROUP * WINDOW)))
         for rank, i in enumerate(order):
             lap, at = divmod(rank, groups)
             group = self.step + (groups - 1 - at if lap % 2 else at)
-            size = sum(len(r[2]) for r in sequences[i])
-            tier = next(t for t in TIERS if size <= t)
-            self.rows += [(*r, self.next_id, tier, group) for r in sequences[i]]
+            self.rows += [(*r, self.next_id, tiers[i], group) for r in sequences[i]]
             self.next_id += 1
         self.step += groups
 
@@ -177,7 +178,8 @@ class Packer:
 
         while longest := next((k for k in range(len(TIERS) - 1, -1, -1) if tiers[k]), -1) + 1:
             held = [take(longest - 1, -1)]
-            gap = WINDOW - len(held[0][2])
+            window = TIERS[longest - 1]
+            gap = window - len(held[0][2])
             while gap:
                 # Best fit from this tier downwards.
                 for k in range(longest - 1, -1, -1):
@@ -198,10 +200,10 @@ class Packer:
                     lengths[tier].insert(at, len(rest[2]))
                     gap = 0
             if gap and not last:
-                self.pool, self.tokens = held, WINDOW - gap
+                self.pool, self.tokens = held, window - gap
                 break
             if gap:
-                self._tail(held, WINDOW - gap, done)
+                self._tail(held, window - gap, done)
             else:
                 self._sequence(held, done)
         if done:

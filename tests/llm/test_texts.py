@@ -238,6 +238,27 @@ def test_packing(spark, odd, none, docs):
     assert packing.pack(none, path).count() == 0
 
 
+@pytest.mark.parametrize("sizes,tiers", [([100], {256}), ([90, 300], {256, 512}), ([300, 500], {256, 512}), ([3, 100, 400, 700, 1500, 5000], {256, 1024, 2048})])
+def test_each_tier_has_its_own_windows(sizes, tiers):
+    p = packing.Packer(0)
+    r = random.Random(4)
+    docs = [r.choice(sizes) for _ in range(200)]
+    for k, n in enumerate(docs):
+        p.add(k, np.ones(n, np.uint32))
+    p.pack(last=True)
+    sequences, dealt = defaultdict(list), defaultdict(Counter)
+    for _, _, ids, _, offset, seq, tier, group in p.drain():
+        sequences[seq, tier].append(len(ids))
+        dealt[tier][group] += offset == 0
+    assert sum(map(sum, sequences.values())) == sum(docs)
+    # All but the tail of the partition (powers of two) fill their windows, opened by a remainder that no shorter tier holds.
+    tail = {k: x for k, x in sequences.items() if sum(x) != k[1] or (k[1] > 256 and x[0] <= k[1] // 2)}
+    assert all(sum(x).bit_count() == 1 for x in tail.values()) and len(set(map(sum, tail.values()))) == len(tail)
+    assert tiers - {256} <= {tier for _, tier in sequences.keys() - tail.keys()} <= tiers | {256, 512}
+    groups = {g for x in dealt.values() for g in x}
+    assert all(max(x.values()) - min(x[g] for g in groups) <= 2 for x in dealt.values())
+
+
 def test_step_groups_are_balanced(docs):
     p = packing.Packer(0)
     r = random.Random(3)
