@@ -62,7 +62,7 @@ def _emails(text: str) -> list[tuple[int, int]]:
 
 
 def _ip_ok(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in s.split(".")))
 
 
 def _card_ok(s: str) -> bool:
@@ -91,8 +91,15 @@ MARKS = {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "‐": "-",
 HIDDEN = "­​‌‍⁠﻿"
 #: First code points of runs of the ten digits.
 DIGIT_RUNS = (0x0660, 0x06F0, 0x0966, 0xFF10, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6)
-# Digit words.
-DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
+# Digit words of English, German, French and Spanish.
+DIGIT_WORDS = {
+    w: str(i)
+    for words in (
+        "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun",
+        "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    )
+    for i, w in enumerate(words.split())
+} | {"oh": "0", "ein": "1", "zwo": "2", "fuenf": "5", "une": "1"}
 
 
 def look_alikes() -> dict[str, str]:
@@ -103,16 +110,47 @@ def look_alikes() -> dict[str, str]:
 
 _ALIKE = look_alikes()
 _ALIKE_RUN = re.compile("[" + re.escape("".join(_ALIKE) + HIDDEN) + "]")
-_WORD = "|".join(DIGIT_WORDS)
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:(?:{_WORD}|[0-9])[ .-]{{0,2}}){{3,}}(?:{_WORD}|[0-9])(?![A-Za-z])", re.IGNORECASE)
+# The longest first: "siete" is no "six", "eins" no "ein".
+_WORD = "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w)))
+_SPELLED = re.compile(rf"(?<![A-Za-zÀ-ÿ])(?:(?:{_WORD}|[0-9])[ .-]{{0,2}}){{3,}}(?:{_WORD}|[0-9])(?![A-Za-zÀ-ÿ])", re.IGNORECASE)
 _ONE_WORD = re.compile(rf"(?:{_WORD})", re.IGNORECASE)
-_AT_MARK = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}at[ \t]{0,3}[\])}>][ \t]{0,3}", re.IGNORECASE)
-_DOT_MARK = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|punkt|point|punto)[ \t]{0,3}[\])}>][ \t]{0,3}", re.IGNORECASE)
-# Top-level domains that are no common word.
-TOP_DOMAINS = "com org net edu gov mil int info biz io co ai app dev uk de fr es nl eu ca au ch se pl ru jp cn br"
-#: Bare words count only in the full shape: name at host dot name.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( at )[A-Za-z0-9-]{1,63}((?:(?: dot |\.)[A-Za-z0-9-]{1,63}){0,6} dot )(?:" + TOP_DOMAINS.replace(" ", "|") + r")(?![A-Za-z])", re.IGNORECASE)
-_BARE_DOT = re.compile(r" dot ", re.IGNORECASE)
+# Fixed values: "at" and "dot" in the four languages.
+_AT_WORD, _DOT_WORD = "at|ät|arobase|arroba|chez", "dot|punkt|point|punto"
+_AT_MARK = re.compile(rf"[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:{_AT_WORD})[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}", re.IGNORECASE)
+_DOT_MARK = re.compile(rf"[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:{_DOT_WORD})[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}", re.IGNORECASE)
+# Top-level domains, of two letters (all countries) and common longer ones.
+TOP_DOMAINS = (
+    "com org net edu gov mil int info biz io co ai app dev name pro online site shop store tech cloud blog xyz "
+    "ac ad ae af ag al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn cr cu cv cw cx cy cz "
+    "de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in iq ir is it "
+    "je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz "
+    "na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz "
+    "tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+)
+# Top-level domains that are common words, which follow no article as a host.
+_WORD_TOPS = frozenset("am as at be do er et id il im in is it la ma me my ne ni no pa re sa si so su ta to tu us va".split())
+_ARTICLES = frozenset("a an the this that each every my your his her its our their le la les un une ce der die das den dem ein eine el los las una este esta".split())
+# Words of prose before "at" and a host that is written plainly.
+_NO_NAMES = frozenset(
+    "look looks looked looking see us me him her them it is are was be found find available online visit hosted live here there more read now site page pages "
+    "website blog shop store out up down on one that this what not only and or contact email mail server files code docs starting works worked working est sont bin ist sind es está".split()
+)
+#: Bare words count only in the full shape: name at host dot name, where either the "at" alone or the dots too are words.
+_BARE = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}( (?:{_AT_WORD}) )([A-Za-z0-9-]{{1,63}}(?:(?: (?:{_DOT_WORD}) |\.)[A-Za-z0-9-]{{1,63}}){{0,6}}(?: (?:{_DOT_WORD}) |\.))({TOP_DOMAINS.replace(' ', '|')})(?![A-Za-z0-9])",
+    re.IGNORECASE,
+)
+_BARE_AT = re.compile(rf" (?:{_AT_WORD}) ", re.IGNORECASE)
+_BARE_DOT = re.compile(rf" (?:{_DOT_WORD}) ", re.IGNORECASE)
+#: Four numbers with bare dots between them, or some.
+_BARE_IP = re.compile(rf"(?<![0-9])[0-9]+(?:(?: (?:{_DOT_WORD}) |\.)[0-9]+){{3}}(?![0-9])", re.IGNORECASE)
+
+
+def _is_address(m: re.Match) -> bool:
+    if not _BARE_DOT.search(m[2]):
+        return m[0][: m.start(1) - m.start()].lower() not in _NO_NAMES
+    labels = re.split(r"[ .]", m[2].lower())
+    return m[3].lower() not in _WORD_TOPS or _ARTICLES.isdisjoint(labels)
 
 
 class Mapped:
@@ -154,11 +192,15 @@ def deobfuscated(text: str) -> Mapped | None:
             edits += [(x.start() + run.start(), x.end() + run.start(), DIGIT_WORDS[x[0].lower()]) for x in _ONE_WORD.finditer(run[0])]
         m.rewrite(edits)
     low = m.text.lower() if len(m.text.lower()) == len(m.text) else m.text
-    if _AT_MARK.search(m.text) or _DOT_MARK.search(m.text) or " dot " in low:
+    at, dot = _BARE_AT.search(low), _BARE_DOT.search(low)
+    if at or dot or _AT_MARK.search(m.text) or _DOT_MARK.search(m.text):
         edits = [(x.start(), x.end(), "@") for x in _AT_MARK.finditer(m.text)] + [(x.start(), x.end(), ".") for x in _DOT_MARK.finditer(m.text)]
-        for x in _BARE.finditer(m.text) if " dot " in low else ():
-            edits.append((*x.span(1), "@"))
-            edits += [(d.start() + x.start(2), d.end() + x.start(2), ".") for d in _BARE_DOT.finditer(x[2])]
+        for x in _BARE.finditer(m.text) if at else ():
+            if _is_address(x):
+                edits.append((*x.span(1), "@"))
+                edits += [(d.start() + x.start(2), d.end() + x.start(2), ".") for d in _BARE_DOT.finditer(x[2])]
+        for x in _BARE_IP.finditer(m.text) if dot else ():
+            edits += [(d.start() + x.start(), d.end() + x.start(), ".") for d in _BARE_DOT.finditer(x[0])]
         edits.sort()
         kept, end = [], 0
         for e in edits:

@@ -59,6 +59,31 @@ def test_disguises(text, want):
             assert 0 <= b < e <= len(text)
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        *((f"anna at firma dot {top} ok", f"email:0:{len(f'anna at firma dot {top}')}") for top in "it at be pt us in me tv dk fi".split()),
+        ("write x at example.com now", "email:6:22"),
+        ("ip 192 dot 168 dot 1 dot 7 ok", "ip:3:26"),
+        ("ana arroba correo punto es", "email:0:26"),
+        ("jean arobase poste point fr", "email:0:27"),
+        ("ruf +49 drei eins neun fünf fünf fünf eins zwei an", "phone:4:47"),
+        ("tel +33 six un deux trois quatre cinq sept huit neuf", "phone:4:52"),
+        ("tel +34 seis uno dos tres cuatro cinco siete ocho", "phone:4:49"),
+        ("look at the dot in that map, or at example.com", ""),
+        ("see us at example.com", ""),
+        ("1 dot 2 dot 3 and 999 dot 1 dot 1 dot 1", ""),
+    ],
+)
+def test_disguises_of_four_languages(text, want):
+    assert pii.listed(pii.spans(text)[1]) == want
+
+
+def test_an_ip_part_of_many_zeros():
+    t = "0" * 5000 + ".1.2.3 and 1.2.3." + "9" * 5000
+    assert pii.listed(pii.spans(t)[0]) == "ip:0:5006"
+
+
 def test_mask():
     assert pii.mask("mail a@b.co or +1 (319) 555-5132, (x [at] y.org)") == "mail [EMAIL] or [PHONE], ([EMAIL])"
     assert pii.mask("nothing") == "nothing"
