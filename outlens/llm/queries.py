@@ -39,7 +39,7 @@ def op3_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sp_sampling import segment
 
-    return segment(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
+    return segment(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op5_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from outlens.llm import packing, pii, sharding, sp_sampling, token_count
-from outlens.llm.queries import tokenizer
+from outlens.llm.queries import op4_sampled_pieces, tokenizer
 
 BASE = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
@@ -190,6 +190,11 @@ def test_piece_rows(spark, odd, none, docs):
     assert sp_sampling.segment(none, path).count() == 0
 
 
+def test_the_piece_query_returns_its_pieces(spark, sf):
+    rows = op4_sampled_pieces(spark, sf).limit(20).collect()
+    assert rows and all(len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+
+
 # Shards.
 def test_permutation():
     for n in (0, 1, 2, 3, 5, 10, 97, 1000, 4096, 30_011):
