@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed, ship_code
+from ..runtime import checkpointed, quoted, ship_code
 
-__all__ = ["SPACES", "checkpointed", "drop_held", "held", "mix64", "prepare", "ship_code", "table", "text_or_empty", "unit_open", "words_of"]
+__all__ = ["SPACES", "checkpointed", "columns_of", "drop_held", "fresh", "held", "mix64", "prepare", "ship_code", "table", "text_or_empty", "unit_open", "words_of"]
 
 #: Text rows per Arrow batch: a worker holds one batch, so this bounds its memory.
 TEXT_BATCH_ROWS = 500
@@ -48,6 +48,19 @@ def drop_held() -> None:
     _HELD.clear()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A working name that starts like ``name`` and begins no column of ``df``, whatever its case."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``; names may hold dots."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

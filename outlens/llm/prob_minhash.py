@@ -24,7 +24,9 @@ a comparison each text is sent once to its leader's group, in parts of at most
 
 Defined results: a document without a word (or with a null text) is a class of its
 own; class_id is the least doc_id of the class (nulls aside; null if all are null);
-repeated rows are copies; an empty table gives no rows; further columns are ignored.
+repeated rows are copies; an empty table, or one of null and blank texts only, is no special
+case; texts may be of any length (working arrays hold about ``PORTION`` characters, or one
+text); further columns, whatever their names, are ignored, and ``keep_one`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, drop_held, mix64, prepare, text_or_empty, unit_open, words_of
+from .common import checkpointed, columns_of, drop_held, fresh, mix64, prepare, text_or_empty, unit_open, words_of
 from .components import components
 
 THRESHOLD = 0.8
@@ -133,7 +135,7 @@ def band_keys(owners: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def sketches(owners: np.ndarray) -> np.ndarray:
     """Four bits of each register, sixteen registers to a long."""
-    four = (mix64(owners) >> np.uint64(60)).reshape(len(owners), -1, 16)
+    four = (mix64(owners) >> np.uint64(60)).reshape(len(owners), owners.shape[1] // 16, 16)
     return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
 
 
@@ -306,12 +308,13 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     repeated, id and all.
     """
     rows, named = classes(docs, threshold)
-    kept = checkpointed(named.where(F.col("node") == F.col("keeper")).select(F.col("node").alias("_keeper"), F.col("class_id").alias("_class")))
+    keeper, known, node = (fresh(docs, n) for n in ("_keeper", "_class", "_node"))
+    kept = checkpointed(named.where(F.col("node") == F.col("keeper")).select(F.col("node").alias(keeper), F.col("class_id").alias(known)))
     small = kept.count() <= BROADCAST_TEXTS
     to = F.broadcast(kept) if small else kept
-    is_keeper = lambda r, key: (F.col(key) == F.col("_keeper")) & r["doc_id"].cast("long").eqNullSafe(F.col("_class"))
+    is_keeper = lambda r, key: (F.col(key) == F.col(keeper)) & r["doc_id"].cast("long").eqNullSafe(F.col(known))
     repeated = not rows.join(to, is_keeper(rows, "node")).groupBy("doc_id", "node").count().where(F.col("count") > 1).isEmpty()
-    marked = docs.withColumn("_node", node_of(normalised(text_or_empty())))
-    first = marked.join(to, is_keeper(marked, "_node"))
-    first = first.dropDuplicates(["doc_id", "_node"]) if repeated else first
-    return first.select(docs.columns).union(marked.where(F.col("_node").isNull()).select(docs.columns))
+    marked = docs.withColumn(node, node_of(normalised(text_or_empty())))
+    first = marked.join(to, is_keeper(marked, node))
+    first = first.dropDuplicates(["doc_id", node]) if repeated else first
+    return first.select(columns_of(docs)).union(marked.where(F.col(node).isNull()).select(columns_of(docs)))

@@ -120,7 +120,33 @@ def test_odd_rows(spark, odd, none, limit, monkeypatch):
     assert p.near_duplicates(none).count() == 0 and p.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("texts", [[None], ["", " \n", None, ""]])
+def test_tables_without_a_word(spark, texts):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, p.near_duplicates(df).collect())) == [(i, i, True) for i in range(len(texts))]
+    assert sorted(r.doc_id for r in p.keep_one(df).collect()) == list(range(len(texts)))
+
+
+def test_a_partition_without_a_word(spark):
+    base = " ".join(words(1, 80))
+    df = spark.createDataFrame([(1, base), (2, base)], "doc_id long, text string").repartition(1)
+    df = df.union(spark.createDataFrame([(3, ""), (4, None)], "doc_id long, text string").repartition(1))
+    assert sorted(map(tuple, p.near_duplicates(df).collect())) == [(1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True)]
+
+
+def test_clashing_columns_keep_their_values(spark):
+    base = " ".join(words(1, 80))
+    kind = "doc_id long, text string, _node string, _Class string, _keeper string, `_node_.a` string, bands string"
+    rows = [(1, base, "a", "b", "c", "d", "e"), (2, base, "f", "g", "h", "i", "j"), (3, None, "k", "l", "m", "n", "o")]
+    kept = p.keep_one(spark.createDataFrame(rows, kind))
+    assert kept.columns == ["doc_id", "text", "_node", "_Class", "_keeper", "_node_.a", "bands"]
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 def test_sketches():
+    none = np.zeros((0, 320), np.uint64)
+    assert p.sketches(none).shape == (0, 20) and p.band_keys(none).shape == (0, p.BANDS)
     owners = np.random.default_rng(0).integers(0, 2**63, (2, 320)).astype(np.uint64)
     owners[1, :256] = owners[0, :256]
     assert p.sketches(owners).shape == (2, 20)
