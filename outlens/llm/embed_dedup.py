@@ -4,8 +4,11 @@ Vectors of one label and length are linked if their cosine, in double precision,
 at least ``THRESHOLD``. Each of ``TABLES`` tables projects the unit vectors on random
 orthonormal directions, decodes two blocks of eight to their nearest E8 lattice
 points, and files a vector under that cell; it also probes the cells of the neighbouring
-lattice points nearest to it. Vectors that meet in a cell are verified. With the
-default parameters a pair of cosine 0.93 meets with probability above 0.999.
+lattice points nearest to it. With the default parameters a pair of cosine 0.93 meets in a cell
+with probability 0.998. Vectors that meet are held against each other by sketches of
+``BITS`` signs of random directions, inside the join that finds them: the share of differing bits
+is their angle over pi, and pairs more than ``SIGMAS`` standard deviations beyond the threshold angle
+go. The others are verified.
 
 Dense groups cost no pairs. Equal vectors are one class. In a cell of the first
 table, classes within half the threshold angle of the cell's mean form a core: any two of
@@ -17,7 +20,9 @@ their centres and their radii decide; only else members are compared, in blocks
 Defined results: a row with a null label or vec_id, or a null, empty or zero vector
 or one with null or non-finite components, links with nothing and is its own component
 (null for a null vec_id); repeated rows are vectors of their own and link with each
-other; an empty table gives no rows; further columns are ignored.
+other; of a component's vectors with equal least ids all are kept; vectors may be of any length, and
+those of different lengths never link; an empty table gives no rows; further columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,19 +35,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, mix64, prepare
 from .components import components
 
 THRESHOLD = 0.93
-TABLES = 8
+TABLES = 12
 BLOCKS = 2
 #: Edge of the lattice, in units of the root mean square of a unit vector's coordinates.
 SCALE = 1.92
-#: Nearest neighbouring cells probed in one block, and in each of both blocks at once.
-PROBES, PROBES_BOTH = 8, 2
+#: Nearest neighbouring cells probed.
+PROBES = 4
+#: Signs in a sketch, and standard deviations by which a pair's sketches may differ beyond its limit.
+BITS = 1536
+SIGMAS = 3.0
 BLOCK = 256
 #: Cells with fewer classes have no core.
 MIN_CORE = 3
@@ -119,12 +127,28 @@ def cells(unit: np.ndarray, labels: np.ndarray, table: int, probes: bool = True)
             at = rows[best[:, k] // 240 == b]
             moved[b][at] += _NEAR[best[at, k] % 240]
         out.append(_bucket(np.concatenate(moved, axis=1), salt))
-    tops = [np.argpartition(-g, PROBES_BOTH, axis=1)[:, :PROBES_BOTH] for g in gain]
-    for ks in itertools.product(range(PROBES_BOTH), repeat=BLOCKS):
-        out.append(_bucket(np.concatenate([p + _NEAR[t[:, k]] for p, t, k in zip(points, tops, ks, strict=True)], axis=1), salt))
     return home, np.stack(out, axis=1)
 
 
+@lru_cache(maxsize=4)
+def sketch_directions(dim: int) -> np.ndarray:
+    """Random orthonormal bases side by side: their signs vary less than those of independent directions."""
+    rng = np.random.default_rng([SEED, dim])
+    return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, :BITS] for _ in range(-(-BITS // dim))], axis=1)[:, :BITS]
+
+
+def sketches(x: np.ndarray) -> np.ndarray:
+    """The signs along ``BITS`` random directions, 64 to a long."""
+    return np.packbits(x @ sketch_directions(x.shape[1]) > 0, axis=1).view(np.int64)
+
+
+def may_link(x: str, y: str, threshold: float) -> Column:
+    """Whether two sketched balls, of columns sketch_x, radius_x, sketch_y and radius_y, may hold a pair of ``threshold``."""
+    differing = F.expr(" + ".join(f"bit_count(get(sketch_{x}, {i}) ^ get(sketch_{y}, {i}))" for i in range(BITS // 64)))
+    share = F.least((F.lit(math.acos(threshold)) + F.col(f"radius_{x}") + F.col(f"radius_{y}")) / math.pi, F.lit(1.0))
+    return differing <= BITS * share + SIGMAS * F.sqrt(BITS * share * (1 - share))
+
+
 def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, double matrix) for each length of vector in a list column without nulls."""
     offsets = column.offsets.to_numpy()
@@ -139,6 +163,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def _kind(vectors: DataFrame) -> str:
+    """The type of the vectors; single precision is kept in tables, and becomes double for every product."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return kind if kind == "array<float>" else "array<double>"
+
+
 def _keyed(vectors: DataFrame) -> DataFrame:
     """vec_id, label, embedding and key: 16 bytes naming (label, vector), null if the row links with nothing."""
 
@@ -151,8 +181,8 @@ def _keyed(vectors: DataFrame) -> DataFrame:
                 keys.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16, salt=int(label).to_bytes(8, "little", signed=True)).digest() if ok else None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=["vec_id", "label", "embedding", "key"])
 
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
-    return rows.mapInArrow(run, "vec_id long, label long, embedding array<double>, key binary")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast(_kind(vectors)))
+    return rows.mapInArrow(run, f"vec_id long, label long, embedding {_kind(vectors)}, key binary")
 
 
 def _with_cores(classes: DataFrame, half: float) -> DataFrame:
@@ -185,7 +215,7 @@ def _with_cores(classes: DataFrame, half: float) -> DataFrame:
                 angle[has[at]] = np.arccos(np.clip((_unit(x) * _unit(c)).sum(axis=1), -1, 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(angle)], names=[*b.schema.names, "angle"])
 
-    kind = "key binary, id long, copies long, label long, embedding array<double>"
+    kind = f"key binary, id long, copies long, label long, embedding {_kind(classes)}"
     filed = checkpointed(classes.mapInArrow(home, f"{kind}, cell long"))
     crowded = filed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CORE).select("cell")
     inside = filed.join(crowded, "cell", "left_semi").select("cell", "embedding")
@@ -193,7 +223,7 @@ def _with_cores(classes: DataFrame, half: float) -> DataFrame:
     # As many values as the vector has coordinates.
     centres = by_place.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("centre"))
     centres = checkpointed(centres.where(F.exists("centre", lambda v: F.abs(v) > 1e-6)))
-    measured = checkpointed(filed.join(centres, "cell", "left").select(*kind.replace(" binary", "").replace(" long", "").replace(" array<double>", "").split(", "), "cell", "centre").mapInArrow(angles, f"{kind}, cell long, centre array<double>, angle double"))
+    measured = checkpointed(filed.join(centres, "cell", "left").select(*[c.split(" ")[0] for c in kind.split(", ")], "cell", "centre").mapInArrow(angles, f"{kind}, cell long, centre array<double>, angle double"))
     heads = measured.where(F.col("angle") <= half).groupBy("cell").agg(F.min("key").alias("head"), F.count("*").alias("members")).where(F.col("members") > 1)
     own = F.col("head").isNotNull() & (F.col("angle") <= half)
     out = measured.join(heads, "cell", "left")
@@ -203,26 +233,46 @@ def _with_cores(classes: DataFrame, half: float) -> DataFrame:
     )
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of cores that meet in a cell of some table."""
+def _candidates(members: DataFrame, cores: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of cores that meet in a cell of some table and whose sketches are alike.
+
+    Cells name a core by a 64-bit hash: two cores of one hash would only mean more to verify.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            labels, cores = b.column(1).to_numpy(), b.column(0)
+            labels, names = b.column(1).to_numpy(), b.column(0).to_numpy()
             for at, x in _vectors(b.column(2)):
                 unit = _unit(x)
                 for t in range(TABLES):
                     home, near = cells(unit, labels[at], t)
-                    who = np.concatenate([at, np.repeat(at, near.shape[1])])
-                    bucket = np.concatenate([home, near.ravel()])
-                    is_home = np.arange(len(bucket)) < len(home)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), cores.take(pa.array(who)), pa.array(is_home)], names=["bucket", "core", "home"])
+                    # The lowest bit tells homes from probes.
+                    name = names[at] & ~np.int64(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(home, near.ravel())), pa.array(np.append(name | 1, np.repeat(name, near.shape[1])))], names=["bucket", "name"])
 
-    entries = checkpointed(members.select("core", "label", "embedding").mapInArrow(run, "bucket long, core binary, home boolean").distinct())
-    homes = entries.where("home").select("bucket", F.col("core").alias("x"))
-    probes = entries.select("bucket", F.col("core").alias("y"))
-    met = homes.join(probes, "bucket").where(F.col("x") != F.col("y"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, x in _vectors(b.column(3)):
+                out = pa.FixedSizeListArray.from_arrays(pa.array(sketches(_unit(x)).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns[:3]), out], names=["name", "core", "radius", "sketch"])
+
+    name = F.xxhash64("core").bitwiseAND(F.lit(-2).cast("long"))
+    filed = members.select(name.alias("name"), "label", "embedding").mapInArrow(run, "bucket long, name long").repartition("bucket")
+    # Most cells hold one core. The exchange above serves both the counts and the join.
+    met = filed.groupBy("bucket").agg(F.max(F.col("name") % 2 != 0).alias("home"), F.min(F.col("name").bitwiseAND(F.lit(-2).cast("long"))).alias("lo"), F.max(F.col("name").bitwiseAND(F.lit(-2).cast("long"))).alias("hi"))
+    live = checkpointed(filed.join(met.where(F.col("home") & (F.col("lo") != F.col("hi"))).select("bucket"), "bucket", "left_semi").distinct())
+    entries = live.select("bucket", (F.col("name") % 2 != 0).alias("home"), F.col("name").bitwiseAND(F.lit(-2).cast("long")).alias("name"))
+    named = cores.withColumn("name", name).join(entries.select("name").distinct(), "name", "left_semi").select("name", "core", "radius", "at")
+    sketched = checkpointed(named.mapInArrow(sketch, "name long, core binary, radius double, sketch array<long>"))
+    both = entries.join(sketched.drop("core"), "name")
+    homes = both.where("home").select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("name", "radius", "sketch")])
+    others = both.select("bucket", "home", *[F.col(c).alias(f"{c}_y") for c in ("name", "radius", "sketch")])
+    # Of two homes, the pair counts once.
+    once = F.when(F.col("home"), F.col("name_x") < F.col("name_y")).otherwise(F.col("name_x") != F.col("name_y"))
+    pairs = homes.join(others, "bucket").where(once & may_link("x", "y", threshold))
+    pairs = pairs.select(F.least("name_x", "name_y").alias("lo"), F.greatest("name_x", "name_y").alias("hi")).distinct()
+    first, second = (sketched.select(F.col("name").alias(n), F.col("core").alias(c)) for n, c in (("lo", "a"), ("hi", "b")))
+    return pairs.join(first, "lo").join(second, "hi").select("a", "b")
 
 
 def _judged(pairs: DataFrame, cores: DataFrame, threshold: float) -> DataFrame:
@@ -284,10 +334,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     cores = members.groupBy("core").agg(
         F.min("id").alias("id"), F.sum("copies").alias("size"), F.max("angle").alias("radius"), (F.count("*") == 1).alias("single"),
-        F.coalesce(some("centre", True), some("embedding")).alias("at"),
+        F.coalesce(some("centre", True), some("embedding").cast("array<double>")).alias("at"),
     )
     cores = checkpointed(cores)
-    judged = _judged(_candidates(members), cores, threshold)
+    judged = _judged(_candidates(members, cores, threshold), cores, threshold)
     whole, unsettled = judged.where(F.col("verdict") == 1), judged.where(F.col("verdict") == -1)
     compared = _compared(unsettled, members, threshold)
 

@@ -81,6 +81,19 @@ def test_recall_at_the_threshold(spark):
     assert sum(got.values()) >= 0.99 * sum(want.values()) and all(got[k] <= want[k] for k in got)
 
 
+def test_looser_groups_cost_few_pairs(spark):
+    """A topic whose vectors are all at cosine 0.85: no pair is a link, and few pairs are verified."""
+    r = np.random.default_rng(9)
+    z = r.normal(size=(1000, 64))
+    z[:, 0] = 0
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    x = np.sqrt(0.85) * np.eye(64)[0] + np.sqrt(0.15) * z
+    cos = (x @ x.T)[np.triu_indices(1000, 1)]
+    df = spark.createDataFrame([(f"{i:04d}".encode(), 1, v.tolist(), 0.0) for i, v in enumerate(x)], "core binary, label long, embedding array<double>, radius double")
+    pairs = e._candidates(df, df.withColumnRenamed("embedding", "at"), 0.93).count()
+    assert pairs < 0.05 * len(cos) and pairs >= 0.99 * (cos >= 0.93).sum()
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
