@@ -3,56 +3,64 @@
 The filter is a bit-sliced Bloom filter: each cell holds one bit per language,
 and an n-gram of a language sets that language's bit in its ``HASHES`` cells. The AND
 of an n-gram's cells is the mask of all languages that contain it, read at once. A
-text's language is the one whose bit is set for most of its n-grams: popcounts per
-language, corrected for false positives by c' = (c - n f) / (1 - f), where f is the
-share of set bits in the language's slice to the power ``HASHES``.
-
-N-grams of 1 to 4 characters come from the lower-cased text with every run of
-other characters than letters as one blank. The filter is fitted on a bounded
+text's masks are counted, and every n-gram votes for each language in its mask, with weight
+ln((L + 1) / (q + 1)) where L is the number of languages and q the number of others in the mask: what all
+languages contain tells little. Counts are corrected for false positives: a bit counts as
+(bit - f) / (1 - f), where f is the share of set bits in the language's slice to the power ``HASHES``.
+The language with the largest sum is the answer; its score is the corrected share of the text's
+n-grams that it contains.
+
+N-grams of 2 to 4 characters come from the lower-cased text with every run of
+other characters than letters and their marks as one blank. The filter is fitted on a bounded
 sample of labelled rows (about ``SAMPLE_ROWS`` per language, chosen by hash of
-doc_id) and keeps the ``GRAMS`` most telling n-grams of a language: those whose share in
-it is at least ``DOMINANCE`` of their shares over all languages. Each whole text is read.
+doc_id) and holds every n-gram found in at least a share ``LEAST_SHARE`` of a language's sampled texts.
+Each whole text is read.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or
-when no language was learned; equal counts go to the alphabetically first language;
-rows with a null lang or doc_id teach nothing, and a null doc_id is not held out;
-repeated rows get equal results; an empty table gives no rows.
+when no language was learned; equal sums go to the alphabetically first language; more
+than ``MAX_LANGUAGES`` languages are an error; rows with a null lang or doc_id teach nothing, and
+a null doc_id is not held out; repeated rows get equal results; texts may be of any length; an empty table
+gives no rows; further columns, whatever their names, are ignored, and ``keep_identified`` returns them as
+they are.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_held, mix64, prepare
+from .common import columns_of, drop_held, fresh, mix64, prepare
 
 SAMPLE_ROWS = 2_000
-GRAMS = 20_000
-DOMINANCE = 0.4
-CELLS = 1 << 20
-HASHES = 4
-SIZES = (1, 2, 3, 4)
+LEAST_SHARE = 0.001
+#: With so many languages the filter has ``CELLS`` rows of 64 bytes.
+MAX_LANGUAGES = 512
+CELLS = 1 << 22
+HASHES = 3
+SIZES = (2, 3, 4)
+#: Up to so many languages, masks are counted in a table of all masks.
+TABLED = 12
 UNDETERMINED = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _PRIMES = tuple(np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
 def grams(text: str) -> np.ndarray:
     """64-bit keys of the n-grams of a text, with repeats; empty if it has no letter."""
     letters = _NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not letters or not any(c.isalpha() for c in letters[:4096]) and not any(map(str.isalpha, letters)):
+    if not any(map(str.isalpha, letters)):
         return np.zeros(0, np.uint64)
     code = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    parts, rolled = [code[1:-1] * _PRIMES[0]], code * _PRIMES[0]
-    for n in SIZES[1:]:
+    parts, rolled = [], code * _PRIMES[0]
+    for n in range(2, SIZES[-1] + 1):
         if len(code) < n:
             break
         rolled = (rolled[:-1] ^ (rolled[:-1] >> np.uint64(29))) * _PRIMES[n - 1] + code[n - 1 :]
@@ -60,86 +68,137 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def places(keys: np.ndarray, cells: int) -> list[np.ndarray]:
+    """The ``HASHES`` cells of each n-gram."""
+    h = mix64(keys)
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return [((h + np.uint64(i) * step) % np.uint64(cells)).astype(np.int64) for i in range(HASHES)]
+
+
+def unpacked(masks: np.ndarray, languages: int) -> np.ndarray:
+    """(masks, languages) booleans."""
+    return np.stack([(masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1) for k in range(languages)], axis=1).astype(bool)
+
+
 @dataclass
 class Filter:
     languages: list[str]
-    cells: np.ndarray  # (CELLS, words of 64 languages)
+    cells: np.ndarray  # (cells, words of 64 languages)
     false_rate: np.ndarray
+    table: np.ndarray | None = field(init=False, default=None)
+
+    def __post_init__(self):
+        n = len(self.languages)
+        if 0 < n <= TABLED:
+            self.table = np.hstack(self._votes(unpacked(np.arange(1 << n, dtype=np.uint64)[:, None], n)))
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
-        h = mix64(keys)
-        step = (h >> np.uint64(32)) | np.uint64(1)
-        out = None
-        for i in range(HASHES):
-            cell = self.cells[((h + np.uint64(i) * step) % np.uint64(len(self.cells))).astype(np.int64)]
-            out = cell if out is None else out & cell
+        first, *others = places(keys, len(self.cells))
+        out = self.cells[first]
+        for at in others:
+            out &= self.cells[at]
         return out
 
+    def _votes(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each mask, the weighted and the plain corrected vote for each language."""
+        n = len(self.languages)
+        true = (bits - self.false_rate) / (1 - self.false_rate)
+        others = bits.sum(axis=1)[:, None] - bits
+        return np.log((n + 1) / (np.arange(n) + 1))[others] * true, true
+
     def judge(self, text: str | None) -> tuple[str, float]:
         keys = grams(text) if text and self.languages else np.zeros(0, np.uint64)
-        n = len(keys)
-        if not n:
+        n = len(self.languages)
+        if not len(keys):
             return UNDETERMINED, 0.0
         masks = self.masks(keys)
-        count = np.array([int(((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).sum()) for i in range(len(self.languages))])
-        true = np.maximum(0.0, (count - n * self.false_rate) / (1 - self.false_rate))
-        best = int(true.argmax())
-        return self.languages[best], float(true[best] / total) if (total := true.sum()) > 0 else 0.0
+        if self.table is not None:
+            sums = np.bincount(masks[:, 0].astype(np.int64), minlength=1 << n) @ self.table
+        else:
+            found, counts = np.unique(masks, axis=0, return_counts=True)
+            sums = counts @ np.hstack(self._votes(unpacked(found, n)))
+        best = int(sums[:n].argmax())
+        return self.languages[best], float(np.clip(sums[n + best] / len(keys), 0.0, 1.0))
+
+
+def assembled(languages: list[str], cells: np.ndarray) -> Filter:
+    """A filter of filled cells, with the false positive rate of each slice."""
+    full = np.array([((cells[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(languages))])
+    return Filter(languages, cells, np.minimum(full**HASHES, 0.999))
+
+
+def words_for(languages: int) -> int:
+    return max(1, -(-languages // 64))
 
 
 def build(by_language: dict[str, np.ndarray], cells: int = CELLS) -> Filter:
+    """The filter of sets of n-grams held in memory."""
     languages = sorted(by_language)
-    out = Filter(languages, np.zeros((cells, max(1, -(-len(languages) // 64))), np.uint64), np.zeros(len(languages)))
+    out = np.zeros((cells, words_for(len(languages))), np.uint64)
     for k, lang in enumerate(languages):
-        h = mix64(by_language[lang].astype(np.uint64))
-        step = (h >> np.uint64(32)) | np.uint64(1)
-        bit = np.uint64(1) << np.uint64(k % 64)
-        for i in range(HASHES):
-            at = np.unique(((h + np.uint64(i) * step) % np.uint64(cells)).astype(np.int64))
-            out.cells[at, k // 64] |= bit
-        out.false_rate[k] = (((out.cells[:, k // 64] & bit) != 0).mean()) ** HASHES
-    return out
+        for at in places(by_language[lang].astype(np.uint64), cells):
+            out[np.unique(at), k // 64] |= np.uint64(1) << np.uint64(k % 64)
+    return assembled(languages, out)
 
 
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame) -> Filter:
-    """The filter from the rows of ``docs`` that are not held out and have text and lang."""
-    spark = docs.sparkSession
-    prepare(spark)
-    taught = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    # One row per language: as many rows as the table has languages.
-    sizes = taught.groupBy("lang").agg(F.count("*").alias("_rows"))
-    share = F.least(F.lit(1.0), F.lit(float(SAMPLE_ROWS)) / F.col("_rows"))
-    pick = taught.select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+def contained(docs: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """k (the language's place), gram: every n-gram that enough sampled texts of a language hold."""
+    languages = sorted(sizes)
+
+    def by_lang(value) -> Column:
+        return F.element_at(F.create_map(*[x for k, lang in enumerate(languages) for x in (F.lit(lang), value(k, lang))]), F.col("lang"))
+
+    share = by_lang(lambda k, lang: F.lit(min(1.0, SAMPLE_ROWS / sizes[lang])))
+    pick = docs.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select(by_lang(lambda k, lang: F.lit(k)).alias("k"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for b in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(grams(text))
-            for lang, parts in by.items():
+            by: dict[int, list[np.ndarray]] = {}
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                by.setdefault(k, []).append(np.unique(grams(text)))
+            for k, parts in by.items():
                 keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-
-    counted = pick.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    rated = counted.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
-    over = Window.partitionBy("gram")
-    telling = rated.withColumn("all", F.sum("rate").over(over)).where((F.col("rate") >= DOMINANCE * F.col("all")) & (F.col("n") > 1))
-    # At most GRAMS rows per language reach the driver; a language's n-grams are bounded by its sample.
-    top = telling.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= GRAMS)
-    found = top.select("lang", "gram").toPandas()
-    learned = {lang: part["gram"].to_numpy().view(np.uint64) for lang, part in found.groupby("lang")}
-    return build(learned)
-
-
-def judged(docs: DataFrame, model: Filter) -> DataFrame:
-    """``docs`` with ``_judged``: a struct of lang_pred and score. Reads the text alone."""
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["k", "gram", "n"])
+
+    counted = pick.mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    least = F.get(F.array(*[F.lit(LEAST_SHARE * min(SAMPLE_ROWS, sizes[lang])) for lang in languages]), F.col("k"))
+    return counted.where(F.col("n") >= least).select("k", "gram")
+
+
+def fit(docs: DataFrame) -> Filter:
+    """The filter from the rows of ``docs`` that are not held out and have text and lang."""
+    prepare(docs.sparkSession)
+    taught = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    sizes = {r["lang"]: r["count"] for r in taught.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages, words = sorted(sizes), words_for(len(sizes))
+    cells = np.zeros((CELLS, words), np.uint64)
+    if not languages:
+        return assembled(languages, cells)
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.column(0).to_numpy().astype(np.uint64)
+            bits = (np.uint64(1) << (k % np.uint64(64))).view(np.int64)
+            for at in places(b.column(1).to_numpy().view(np.uint64), CELLS):
+                yield pa.RecordBatch.from_arrays([pa.array(at * words + (k // np.uint64(64)).astype(np.int64)), pa.array(bits)], names=["cell", "bits"])
+
+    # One row per word of the filter at most: its size is fixed by the parameters.
+    found = contained(taught, sizes).mapInArrow(filed, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    cells.reshape(-1)[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return assembled(languages, cells)
+
+
+def judged(docs: DataFrame, model: Filter, name: str = "_judged") -> DataFrame:
+    """``docs`` with ``name``: a struct of lang_pred and score. Reads the text alone."""
     prepare(docs.sparkSession)
-    # The filter's size is fixed by its parameters: 8 MB for up to 64 languages.
+    # The filter's size is fixed by its parameters: 32 MB for up to 64 languages.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -147,7 +206,7 @@ def judged(docs: DataFrame, model: Filter) -> DataFrame:
         drop_held()
         return pd.DataFrame([shared.value.judge(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_judged", judge("text"))
+    return docs.withColumn(name, judge("text"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -156,11 +215,12 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "_judged.lang_pred", "_judged.score")
 
 
-#: Texts of a lower score mix languages or are none.
+#: Texts of a lower score are of no learned language.
 MIN_SCORE = 0.3
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` with a determined language and at least ``min_score``."""
-    out = judged(docs, fit(docs))
-    return out.where((F.col("_judged.lang_pred") != UNDETERMINED) & (F.col("_judged.score") >= min_score)).select(docs.columns)
+    name = fresh(docs, "_judged")
+    out = judged(docs, fit(docs), name)
+    return out.where((F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.score") >= min_score)).select(columns_of(docs))
