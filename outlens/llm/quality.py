@@ -1,18 +1,24 @@
 """Quality rules with risk-controlled cutoffs; DataFrame functions only.
 
-Each rule is a score of a text, and texts at or above the rule's cutoff go. The
-cutoffs come from labelled holdouts, per stratum (language): a cutoff is certified
-if the exact binomial (Clopper-Pearson) upper bound of its false rejection rate
-among good texts is at most ``alpha``, that is if P(Bin(n, alpha) <= k) is at most
-``delta`` over the number of tests (Bonferroni over strata x rules x cutoffs of a
-fixed grid). Of the certified cutoffs that reject more bad texts than good ones, the
-one with the largest difference is used; a rule or stratum without one rejects
-nothing. So with probability 1 - delta no rule rejects more than a share ``alpha`` of
-the good texts of any stratum.
+Each rule is a score of a text, and texts at or above the rule's cutoff go. Each rule
+has ``LEVELS`` cutoffs, fixed before any label is seen, from lenient to strict. A candidate verdict is a
+set of rules (``SETS``) at one level: it rejects what any rule of the set rejects at that level.
+
+Cutoffs come from labelled holdouts, per stratum (language). Of a stratum's distinct good texts (equal
+texts count once, and as good if any label says so) that pass the base rules, a candidate rejects k of n.
+It is certified if the exact binomial (Clopper-Pearson) upper bound of its false rejection rate is at most
+``alpha``, that is if P(Bin(n, alpha) <= k) is at most ``delta`` over strata x sets (Bonferroni). The levels of a
+set are nested, so they are tested in their fixed order, up to the first that fails, at no further cost. Of the
+certified candidates that reject more bad texts than good ones, the one with the largest difference is used, the
+most lenient of equal ones; a stratum without one rejects nothing beyond the base rules. So with probability
+1 - delta the verdict of the method (all rules together) rejects at most a share ``alpha`` of the good texts of
+every stratum.
 
 Defined results: a null text has no words; null languages are one stratum; labels
-with a null quality or without a document are ignored; repeated rows are judged
-alike; empty tables give no rows, and empty labels certify nothing.
+with a null quality or without a document are ignored, and repeated labels or rows change nothing; repeated rows
+are judged alike; texts may be of any length; a score equal to a cutoff reaches it; empty tables give no rows, and
+empty labels certify nothing; further columns, whatever their names, are ignored by ``assess``, and ``keep_good``
+returns them as they are.
 """
 
 from __future__ import annotations
@@ -22,23 +28,30 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpointed, text_or_empty, words_of
+from .common import SPACES, checkpointed, columns_of, fresh, text_or_empty, words_of
 
-ALPHA = 0.01
+ALPHA = 0.02
 DELTA = 0.05
 #: Bounds of the base rules: fewest words, largest percentage of repeated words.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Rule -> grid of cutoffs, fixed before any label is seen.
+#: Rule -> cutoffs, from lenient to strict.
 GRID: dict[str, tuple[float, ...]] = {
-    "symbols": (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9, 1.2, 2.0),
-    "repeats": (0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45),
-    "dup_lines": (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8),
-    "shouts": (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.2, 1.8, 3.0),
-    "capitals": (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9),
-    "long_words": (7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 40.0),
-    "short_words": (-4.0, -3.5, -3.0, -2.5, -2.0, -1.5),
+    "symbols": (2.0, 1.2, 0.9, 0.7, 0.5, 0.3, 0.2, 0.1),
+    "repeats": (0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1),
+    "dup_lines": (0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1),
+    "shouts": (3.0, 1.8, 1.2, 0.8, 0.5, 0.3, 0.2, 0.1),
+    "capitals": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
+    "long_words": (40.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.5, 8.0),
+    "short_words": (-1.5, -2.0, -2.25, -2.5, -2.75, -3.0, -3.25, -3.5),
+}
+LEVELS = 8
+SETS: dict[str, tuple[str, ...]] = {
+    "all": tuple(GRID),
+    "marks": ("symbols", "shouts"),
+    "repetition": ("repeats", "dup_lines"),
+    "shape": ("capitals", "long_words", "short_words"),
 }
 
 
@@ -146,59 +159,76 @@ def most_rejections(n: Column, alpha: float, level: float) -> Column:
     return F.aggregate(places, start, step)["k"]
 
 
-def certify(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, cutoffs (map of rule to cutoff): one row per stratum with a usable cutoff.
+def certify(held: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum, cutoffs (map of rule to cutoff): one row per stratum with a usable candidate.
 
-    ``counts``: doc_id, lang and the counts of ``measured``, without texts.
+    ``held``: labelled rows with lang, the counts of ``measured``, fingerprint (of the text) and quality.
     Texts that the base rules reject have no say.
     """
-    held = counts.where(~base_failed()).join(labels.where(F.col("quality").isNotNull()).select("doc_id", "quality"), "doc_id")
-    reached = lambda grid, score: sum(((score >= c).cast("int") for c in grid), F.lit(0))
-    bins = [F.struct(F.lit(rule).alias("rule"), reached(GRID[rule], score).alias("bin")) for rule, score in scores().items()]
-    good, bad = F.sum((F.col("quality") == 1).cast("long")), F.sum((F.col("quality") == 0).cast("long"))
-    binned = held.select(stratum().alias("stratum"), "quality", F.explode(F.array(*bins)).alias("b")).groupBy("stratum", "b.rule", "b.bin").agg(good.alias("good"), bad.alias("bad"))
-    over = Window.partitionBy("stratum", "rule")
-    from_top = over.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = checkpointed(binned.withColumns({"k": F.sum("good").over(from_top), "caught": F.sum("bad").over(from_top), "n": F.sum("good").over(over)}))
+    level = {rule: sum(((score < c).cast("int") for c in GRID[rule]), F.lit(1)) for rule, score in scores().items()}
+    reached = {name: F.least(*[level[r] for r in rules]) for name, rules in SETS.items()}
+    rows = held.where(~base_failed()).select(stratum().alias("stratum"), "fingerprint", (F.col("quality") == 1).alias("good"), *[c.alias(n) for n, c in reached.items()])
+    texts = rows.groupBy("stratum", "fingerprint").agg(F.max("good").alias("good"), *[F.min(n).alias(n) for n in SETS])
+    each = texts.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(n).alias("set"), F.col(n).alias("level")) for n in SETS])).alias("c"))
+    binned = each.groupBy("stratum", "c.set", "c.level").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    over = Window.partitionBy("stratum", "set")
+    down = over.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    summed = checkpointed(binned.withColumns({"k": F.sum("good").over(down), "caught": F.sum("bad").over(down), "n": F.sum("good").over(over)}))
     strata = max(1, summed.select(F.count_distinct("stratum")).first()[0])
-    level = delta / (strata * sum(map(len, GRID.values())))
-    ok = summed.where((F.col("bin") > 0) & (F.col("n") > 0) & (F.col("caught") > F.col("k"))).where(F.col("k") <= most_rejections(F.col("n"), alpha, level))
-    cutoff = F.get(F.element_at(F.create_map(*[x for rule, grid in GRID.items() for x in (F.lit(rule), F.array(*map(F.lit, grid)))]), F.col("rule")), F.col("bin") - 1)
-    best = ok.groupBy("stratum", "rule").agg(F.max_by(cutoff, F.struct(F.col("caught") - F.col("k"), F.col("bin"))).alias("cutoff"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    # k grows with the level, so what passes is a run of levels from the first on.
+    certified = summed.where((F.col("n") > 0) & (F.col("k") <= most_rejections(F.col("n"), alpha, delta / (strata * len(SETS)))))
+    useful = certified.where((F.col("level") <= LEVELS) & (F.col("caught") > F.col("k")))
+    best = useful.groupBy("stratum").agg(F.max_by(F.struct("set", "level"), F.struct(F.col("caught") - F.col("k"), -F.col("level"), "set")).alias("best"))
+    grid = F.create_map(*[x for rule, cuts in GRID.items() for x in (F.lit(rule), F.array(*map(F.lit, cuts)))])
+    rules = F.element_at(F.create_map(*[x for name, rules in SETS.items() for x in (F.lit(name), F.array(*map(F.lit, rules)))]), F.col("best.set"))
+    return best.select("stratum", F.map_from_arrays(rules, F.transform(rules, lambda r: F.element_at(F.element_at(grid, r), F.col("best.level")))).alias("cutoffs"))
+
+
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id and quality of all labels; a document with several has the best."""
+    return labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("quality"))
 
 
-#: Strata whose cutoffs may be broadcast; more are joined by Spark's own choice.
+#: Strata whose cutoffs may be broadcast, and labelled ids; more are joined by Spark's own choice.
 BROADCAST_STRATA = 10_000
+BROADCAST_LABELS = 1_000_000
 
 
 def judged(rows: DataFrame, cutoffs: DataFrame, prefix: str = "") -> DataFrame:
     """``rows`` (with counts) with base_failed, rules (those broken) and kept."""
-    cutoffs = cutoffs.withColumnsRenamed({"stratum": "_stratum", "cutoffs": "_cutoffs"})
+    key, cuts = f"{prefix}_stratum", f"{prefix}_cutoffs"
     small = cutoffs.count() <= BROADCAST_STRATA
-    out = rows.join(F.broadcast(cutoffs) if small else cutoffs, stratum() == F.col("_stratum"), "left")
-    broken = [F.when(score >= F.try_element_at("_cutoffs", F.lit(rule)), F.lit(rule)) for rule, score in scores(prefix).items()]
+    cutoffs = cutoffs.withColumnsRenamed({"stratum": key, "cutoffs": cuts})
+    out = rows.join(F.broadcast(cutoffs) if small else cutoffs, stratum() == F.col(key), "left")
+    broken = [F.when(score >= F.try_element_at(F.col(cuts), F.lit(rule)), F.lit(rule)) for rule, score in scores(prefix).items()]
     out = out.withColumns({f"{prefix}base_failed": base_failed(prefix), f"{prefix}rules": F.array_join(F.array(*broken), ",")})
-    return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}rules") == "")).drop("_stratum", "_cutoffs")
+    return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}rules") == "")).drop(key, cuts)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def _narrow(docs: DataFrame) -> DataFrame:
+    return measured(docs.withColumn("fingerprint", F.unhex(F.md5(text_or_empty())))).drop("text")
+
+
 def assess(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id, the counts, base_failed, rules and kept for every row of ``docs``."""
-    narrow = measured(docs.select("doc_id", "lang", "text")).drop("text")
-    counts = checkpointed(narrow)
-    out = judged(counts, checkpointed(certify(counts, labels, alpha, delta)))
+    counts = checkpointed(_narrow(docs.select("doc_id", "lang", "text")))
+    out = judged(counts, checkpointed(certify(counts.join(labelled(labels), "doc_id"), alpha, delta)))
     return out.select("doc_id", *COUNTS, "base_failed", "rules", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns; no text is shuffled.
 
-    Counts are taken twice, once for the labels and once in the final pass: that
-    is cheaper than writing or shuffling all texts with them.
+    Counts of labelled texts are taken twice, for the labels and in the final pass: that
+    is cheaper than writing or shuffling all texts with them. If the labels are too many to be sent, the counts
+    of all texts are taken and joined.
     """
-    p = "_q_"
-    cutoffs = checkpointed(certify(measured(docs.select("doc_id", "lang", "text")).drop("text"), labels, alpha, delta))
-    return judged(measured(docs, p), cutoffs, p).where(f"{p}kept").select(docs.columns)
+    marks, bare = checkpointed(labelled(labels)), docs.select("doc_id", "lang", "text")
+    few = marks.count() <= BROADCAST_LABELS
+    held = _narrow(bare.join(F.broadcast(marks), "doc_id")) if few else _narrow(bare).join(marks, "doc_id")
+    cutoffs = checkpointed(certify(held, alpha, delta))
+    p = fresh(docs, "_q_")
+    return judged(measured(docs, p), cutoffs, p).where(F.col(f"{p}kept")).select(columns_of(docs))

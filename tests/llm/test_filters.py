@@ -130,6 +130,74 @@ def test_filter_masks_and_false_positives():
     assert seen == pytest.approx(f.false_rate.mean(), abs=2e-3)
 
 
+def exact_judge(sets, text):
+    """The decision from exact sets of n-grams."""
+    keys = lang_id.grams(text or "").tolist()
+    langs = sorted(sets)
+    if not keys or not langs:
+        return "und", 0.0
+    votes, share = dict.fromkeys(langs, 0.0), dict.fromkeys(langs, 0)
+    for key in keys:
+        within = [x for x in langs if key in sets[x]]
+        for x in within:
+            votes[x] += math.log((len(langs) + 1) / len(within))
+            share[x] += 1
+    best = max(langs, key=lambda x: (votes[x], [-ord(c) for c in x]))
+    return best, share[best] / len(keys)
+
+
+def test_the_filter_against_exact_sets(spark, sf, docs):
+    """Same decisions as from exact sets; all n-grams are filed, so masks of three and four languages occur."""
+    import numpy as np
+
+    taught = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~lang_id.is_held_out(F.col("doc_id")))
+    by_lang = {}
+    for x in taught.collect():
+        by_lang.setdefault(x.lang, []).append(set(lang_id.grams(x.text).tolist()))
+    sets = {}
+    for lang, texts in by_lang.items():
+        seen = Counter(g for t in texts for g in t)
+        sets[lang] = {g for g, n in seen.items() if n >= lang_id.LEAST_SHARE * len(texts)}
+    model = lang_id.fit(docs)
+    assert model.languages == sorted(sets)
+    for k, lang in enumerate(model.languages):
+        assert lang_id.unpacked(model.masks(np.array(sorted(sets[lang]), np.uint64)), len(sets))[:, k].all()
+    got = {(x.doc_id, x.lang_pred): x.score for x in lang_id.identify(docs).collect()}
+    popcounts = Counter()
+    for x in docs.collect():
+        lang, score = exact_judge(sets, x.text)
+        assert got[x.doc_id, lang] == pytest.approx(score, abs=0.03)
+        if x.text:
+            popcounts.update(lang_id.unpacked(model.masks(np.unique(lang_id.grams(x.text))), len(sets)).sum(axis=1).tolist())
+    assert popcounts[3] and popcounts[4]
+
+
+def test_near_identical_languages_are_all_kept(spark):
+    r = random.Random(2)
+    roots = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    rows, i = [], 0
+    for lang, ending in (("xa", "um"), ("xb", "ov"), ("xc", "ig")):
+        for _ in range(60):
+            rows.append((i, " ".join(w + ending if r.random() < 0.2 else w for w in r.choices(roots, k=40)), lang))
+            i += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = lang_id.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out")
+    right, n = out.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 20 and right >= 0.95 * n
+
+
+def test_many_languages_and_marks(spark, monkeypatch):
+    rows = [(i, f"{chr(0x4E00 + 50 * (i % 70))}{chr(0x4E01 + 50 * (i % 70))} " * 5, f"l{i % 70:02}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(lang_id, "CELLS", 1 << 14)
+    assert lang_id.identify(df).join(df, "doc_id").where("lang <> lang_pred").count() == 0
+    monkeypatch.setattr(lang_id, "MAX_LANGUAGES", 5)
+    with pytest.raises(ValueError):
+        lang_id.fit(df)
+    # Combining marks belong to their letters; marks alone are no letters.
+    assert len(lang_id.grams("\u0928\u093f")) == len(lang_id.grams("ab")) and len(lang_id.grams("\u0301 1 _")) == 0
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -188,6 +256,72 @@ def test_cutoffs_reject_the_bad_and_spare_the_good(spark):
     assert all(got[i].kept for i in got if i % 5 == 0)
 
 
+def simulated(spark, seed, copies=1):
+    """One stratum of 1500 texts; good ones hold some symbols, shouts and capitals too."""
+    r = random.Random(seed)
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 6 == 0
+        def word(k):  # noqa: E306
+            w = f"x{r.randrange(9999)}"
+            return (w + r.choice(["|", "!", "# "])) if r.random() < (0.6 if bad else 0.03 if i % 50 else 0.4) else w
+        rows.append((i, " ".join(word(k) for k in range(70)), "en"))
+        labels.append((i, 0 if bad else 1))
+    held = [x for x in labels if x[0] % 2 == 0] * copies
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(held, "doc_id long, quality int"), labels
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_whole_verdict_keeps_the_bound(spark, seed):
+    """Good texts that hold out (odd ids) are rejected no more often than alpha, with room for chance; repeated labels and rows change nothing."""
+    docs, held, labels = simulated(spark, seed)
+    got = {x.doc_id: x.kept for x in quality.assess(docs, held, alpha=0.05).collect()}
+    fresh_good = [i for i, q in labels if q and i % 2]
+    wrong = sum(not got[i] for i in fresh_good)
+    assert wrong <= 0.05 * len(fresh_good) + 2.33 * math.sqrt(0.05 * 0.95 * len(fresh_good))
+    assert sum(not got[i] for i, q in labels if not q) > 200
+    for df, marks in ((docs, simulated(spark, seed, 8)[1]), (docs.union(docs), held)):
+        assert {x.doc_id: x.kept for x in quality.assess(df, marks, alpha=0.05).collect()} == got
+
+
+def test_cutoffs_by_brute_force(spark, sf, docs):
+    """The certified candidate of each stratum, found by its definition from rows in memory."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs, held, _ = simulated(spark, 7)
+    rows = quality.measured(docs.withColumn("fingerprint", F.unhex(F.md5("text")))).join(quality.labelled(held), "doc_id")
+    score = rows.select("quality", "fingerprint", quality.base_failed().alias("base"), *[c.alias(n) for n, c in quality.scores().items()]).collect()
+    good = {x.fingerprint: x for x in score if not x.base and x.quality == 1}
+    bad = {x.fingerprint: x for x in score if not x.base and x.quality == 0}
+    n, options = len(good), []
+    for name, rules in quality.SETS.items():
+        for level in range(1, 9):
+            goes = lambda x: any(x[r] >= quality.GRID[r][level - 1] for r in rules)  # noqa: B023, E731
+            k, caught = sum(map(goes, good.values())), sum(map(goes, bad.values()))
+            if binomial(n, k, 0.05) <= 0.05 / len(quality.SETS) and caught > k:
+                options.append((caught - k, -level, name))
+    got = quality.certify(rows, alpha=0.05).collect()
+    _, level, name = max(options)
+    assert [(x.stratum, x.cutoffs) for x in got] == [("en", {r: quality.GRID[r][-level - 1] for r in quality.SETS[name]})]
+    assert quality.certify(quality.measured(docs.withColumn("fingerprint", F.unhex(F.md5("text")))).join(quality.labelled(labels.limit(0)), "doc_id")).count() == 0
+
+
+def test_many_labels_are_joined(spark, monkeypatch):
+    docs, held, _ = simulated(spark, 3)
+    few = sorted(x.doc_id for x in quality.keep_good(docs, held, 0.05).collect())
+    monkeypatch.setattr(quality, "BROADCAST_LABELS", 0)
+    assert sorted(x.doc_id for x in quality.keep_good(docs, held, 0.05).collect()) == few
+    assert few == sorted(x.doc_id for x in quality.assess(docs, held, 0.05).where("kept").collect())
+
+
+def test_filters_leave_clashing_columns_alone(spark, odd, docs, sf):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, text + f" {i}", "en", "a", "b", "c", "d") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _judged string, _q_n_words string, _Q__kept string, `a.b` string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    for kept in (lang_id.keep_identified(df), quality.keep_good(df, labels)):
+        assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == rows
+
+
 def test_quality_is_native(spark, odd, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     plan = quality.keep_good(odd, labels)._jdf.queryExecution().executedPlan().toString()
