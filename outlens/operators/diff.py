@@ -51,10 +51,12 @@ def diff(
     max_combo: int = 3,
     count_column: str | None = None,
     dependencies: Sequence[set[str]] = (),
+    with_present: bool = False,
 ) -> DataFrame:
     """Attributes, support, the ratio, outlier_count and total_count.
 
-    ``on`` is a list of columns, or "*". Rows are weighted by ``count_column`` if given.
+    ``on`` is a list of columns, or "*". Rows are weighted by ``count_column`` if given. ``with_present`` adds the
+    names of a combination's attributes: of those a null is a value, the others are absent.
     """
     if on == "*":
         on = star_attributes(df.drop(outlier_column))
@@ -63,7 +65,7 @@ def diff(
     metrics = [Metric("support", support(), min_support, monotone=True), ratio_metric(ratio, min_ratio)]
     count = F.col(quoted(count_column)) if count_column else F.lit(1.0)
     found = explain(df, on, {"outliers": F.col(outlier_column), "count": count}, metrics, max_combo, dependencies)
-    return found.select(*[quoted(a) for a in dict.fromkeys(on)], "support", metrics[1].name, F.col("outliers").alias("outlier_count"), F.col("count").alias("total_count"))
+    return found.select(*[quoted(a) for a in dict.fromkeys(on)], "support", metrics[1].name, F.col("outliers").alias("outlier_count"), F.col("count").alias("total_count"), *["present"] * with_present)
 
 
 def diff_join(outliers: DataFrame, inliers: DataFrame, dimension: DataFrame, key: str, on: Sequence[str], min_ratio: float = 1.5, **options) -> DataFrame:

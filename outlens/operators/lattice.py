@@ -4,11 +4,11 @@ A combination that passes is reported and not extended; one that fails a monoton
 dropped with all its supersets; any other may grow. Triples are reported only if all
 their pairs could grow.
 
-Plan: one pass aggregates single values. A value that may grow has a share ``min_support`` of
-the outliers, so an attribute has at most 1 / min_support of them; they are numbered and
-broadcast. A second pass emits, per row, the pairs and triples of such values, each packed into one
-long, and aggregates them. Both passes are combined map-side, so what is shuffled is bounded by
-the number of distinct combinations, not of rows.
+Plan: one pass aggregates single values, and with them the totals. A value that may grow has a share
+``min_support`` of the outliers, so an attribute has at most 1 / min_support of them; they are numbered and
+broadcast. A second pass emits, per row, the pairs of such values, each packed into one long, and
+aggregates them; a third does so with the triples all of whose pairs may grow. All passes are combined
+map-side, so what is shuffled is bounded by the number of distinct combinations, not of rows.
 """
 
 from __future__ import annotations
@@ -50,18 +50,26 @@ def _settled(df: DataFrame, most: float) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema, verifySchema=False)
 
 
-def _packed(base: DataFrame, values: DataFrame, names: list[str], sets: list[tuple[str, ...]], sums: list[Column], most: float) -> DataFrame:
-    """Sums of the pairs and triples of ``values`` (_a: attribute number, _v: value), one long per combination.
+def _numbered(base: DataFrame, values: DataFrame, names: list[str], most: float) -> tuple[DataFrame, DataFrame]:
+    """``base`` with a number (or null) for each attribute, and the numbered ``values`` (_a: attribute number, _v: value).
 
     Numbers start at 1 and ascend with the attributes, so pairs and triples never collide.
     """
     numbered = values.withColumn("_id", F.row_number().over(Window.orderBy("_a", "_v")).cast("long"))
     numbered = F.broadcast(_settled(numbered, most))
     rows = base
-    ids = {n: F.col(f"_i{k}") for k, n in enumerate(names)}
     for k, n in enumerate(names):
         own = numbered.where(F.col("_a") == k).select(F.col("_v").alias("_w"), F.col("_id").alias(f"_i{k}"))
         rows = rows.join(own, F.col(n) == F.col("_w"), "left").drop("_w", n)
+    return rows, numbered
+
+
+def _packed(rows: DataFrame, numbered: DataFrame, names: list[str], sets: list[tuple[str, ...]], sums: list[Column], pairs: DataFrame | None = None) -> DataFrame:
+    """Sums of pairs or triples of numbered values, one long (``_p``) per combination.
+
+    ``pairs``: a few packed pairs; triples with any other are dropped before they are aggregated.
+    """
+    ids = {n: F.col(f"_i{k}") for k, n in enumerate(names)}
 
     def pack(s: tuple[str, ...]) -> Column:
         out = ids[s[0]]
@@ -69,15 +77,20 @@ def _packed(base: DataFrame, values: DataFrame, names: list[str], sets: list[tup
             out = F.shiftleft(out, BITS).bitwiseOR(ids[n])  # null if any is absent
         return out
 
-    measures = [c for c in base.columns if c not in names]
-    packed = rows.select(*measures, F.explode(F.array(*[pack(s) for s in sets])).alias("_p")).where(F.col("_p").isNotNull()).groupBy("_p").agg(*sums)
+    measures = [c for c in rows.columns if c not in {f"_i{k}" for k in range(len(names))}]
+    packed = rows.select(*measures, F.explode(F.array(*[pack(s) for s in sets])).alias("_p")).where(F.col("_p").isNotNull())
+    if pairs is not None:
+        p, one, two = F.col("_p"), (1 << BITS) - 1, (1 << 2 * BITS) - 1
+        for pair in (F.shiftrightunsigned(p, BITS), p.bitwiseAND(two), F.shiftleft(F.shiftrightunsigned(p, 2 * BITS), BITS).bitwiseOR(p.bitwiseAND(one))):
+            packed = packed.join(F.broadcast(pairs), pair == F.col("_pair"), "left_semi")
+    packed = packed.groupBy("_p").agg(*sums)
     part = lambda k: F.shiftrightunsigned("_p", BITS * k).bitwiseAND((1 << BITS) - 1)
     out = packed.withColumns({"_x0": part(0), "_x1": part(1), "_x2": part(2)})
     for k in range(3):
         out = out.join(numbered.select(F.col("_id").alias(f"_x{k}"), F.col("_a").alias(f"_a{k}x"), F.col("_v").alias(f"_v{k}x")), f"_x{k}", "left")
     at = [F.coalesce(*[F.when(F.col(f"_a{k}x") == i, F.col(f"_v{k}x")) for k in range(3)]).alias(n) for i, n in enumerate(names)]
     order = F.when(F.col("_x2") > 0, 3).otherwise(2).alias("_order")
-    return out.select(*at, *measures, order)
+    return out.select(*at, *measures, order, "_p")
 
 
 def _by_sets(base: DataFrame, values: DataFrame, names: list[str], sets: list[tuple[str, ...]], sums: list[Column], grouped) -> DataFrame:
@@ -89,11 +102,11 @@ def _by_sets(base: DataFrame, values: DataFrame, names: list[str], sets: list[tu
     return grouped(left.groupBy(*names).agg(*sums), sets)
 
 
-def _with_growing_pairs(larger: DataFrame, names: list[str]) -> DataFrame:
+def _with_growing_pairs(triples: DataFrame, growing: DataFrame, names: list[str]) -> DataFrame:
     """Triples that pass, all of whose pairs could grow."""
-    pairs = larger.where((F.col("_order") == 2) & ~F.col("_keep")).select(F.struct(*names).alias("_pair"))
-    triples = larger.where((F.col("_order") == 3) & F.col("_keep")).withColumn("_whole", F.struct(*names))
-    blank = F.lit(None).cast(larger.schema[names[0]].dataType)
+    pairs = growing.select(F.struct(*names).alias("_pair"))
+    triples = triples.where("_keep").withColumn("_whole", F.struct(*names))
+    blank = F.lit(None).cast(triples.schema[names[0]].dataType)
     without = [F.when(F.col(n).isNotNull(), F.struct(*[(blank if m == n else F.col(m)).alias(m) for m in names])) for n in names]
     parts = triples.select("_whole", F.explode(F.array(*without)).alias("_pair")).where(F.col("_pair").isNotNull())
     ok = parts.join(pairs, "_pair", "left_semi").groupBy("_whole").agg(F.count("*").alias("_n")).where(F.col("_n") == 3).select("_whole")
@@ -109,7 +122,7 @@ def explain(
     dependencies: Sequence[set[str]] = (),
     whole: dict[str, float] | None = None,
 ) -> DataFrame:
-    """Attribute columns (null where absent), the aggregates, the metrics and ``order``.
+    """Attribute columns (null where absent), the aggregates, the metrics, ``order`` and ``present`` (the names of the attributes that are not absent).
 
     ``aggregates``: name -> value to be summed. ``dependencies``: groups of functionally
     dependent attributes, of which a combination holds at most one. ``whole``: totals to use
@@ -124,10 +137,6 @@ def explain(
     # A struct tells a null value from an absent one.
     base = df.select(*[F.struct(F.col(quoted(a)).cast("string").alias("v")).alias(n) for a, n in zip(attributes, names, strict=True)], *[c.cast("double").alias(f"_m_{k}") for k, c in aggregates.items()])
     sums = [F.sum(f"_m_{k}").alias(f"_m_{k}") for k in aggregates]
-    if whole is None:
-        row = base.agg(*sums).first()
-        whole = {k: float(row[f"_m_{k}"] or 0.0) for k in aggregates}
-
     def judged(grouped: DataFrame) -> DataFrame:
         values = {k: F.col(f"_m_{k}") for k in aggregates}
         out = grouped.select("*", *[m.column(values, whole) for m in metrics]).where(_passes(metrics, monotone_only=True))
@@ -157,21 +166,39 @@ def explain(
 
     share = max([m.threshold for m in metrics if m.monotone], default=0.0)
     most = lambda sets: len(sets) / share if share > 0 else float("inf")
-    singles = _settled(judged(grouped(base, [(n,) for n in names])), most(names))
+    singles = grouped(base, [(n,) for n in names])
+    if whole is None:
+        # Every row has one value of the first attribute, so its groups add up to the relation.
+        singles = checkpointed(singles)
+        row = singles.where(F.col(names[0]).isNotNull()).agg(*sums).first()
+        whole = {k: float(row[f"_m_{k}"] or 0.0) for k in aggregates}
+    singles = _settled(judged(singles), most(names))
+    columns = singles.columns
     found = singles.where("_keep")
-    sets = [s for k in range(2, max_order + 1) for s in sets_of(k)]
-    if sets:
-        growing = singles.where(~F.col("_keep"))
-        values = growing.select(F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(i)) for i, n in enumerate(names)]).alias("_a"), F.coalesce(*names).alias("_v"))
-        if most(names) <= PACKED_VALUES or growing.count() <= PACKED_VALUES:
-            larger = _packed(base, values, names, sets, sums, most(names))
+    pairs = sets_of(2) if max_order > 1 else []
+    if pairs:
+        values = singles.where(~F.col("_keep")).select(F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(i)) for i, n in enumerate(names)]).alias("_a"), F.coalesce(*names).alias("_v"))
+        few = most(names) <= PACKED_VALUES or values.count() <= PACKED_VALUES
+        if few:
+            rows, numbered = _numbered(base, values, names, most(names))
+            larger = _packed(rows, numbered, names, pairs, sums)
         else:
-            larger = _by_sets(base, values, names, sets, sums, grouped)
-        larger = _settled(judged(larger), most(sets))
-        found = found.union(larger.where(F.col("_keep") & (F.col("_order") == 2)))
-        if max_order > 2:
-            found = found.union(_with_growing_pairs(larger, names))
+            larger = _by_sets(base, values, names, pairs, sums, grouped)
+        larger = _settled(judged(larger), most(pairs))
+        found = found.union(larger.where("_keep").select(columns))
+        growing = larger.where(~F.col("_keep"))
+        # Triples of attributes of which every two have a pair that may grow: at most as many rows as pairs of attributes.
+        within = {frozenset(r[0]) for r in growing.select(F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in names]))).distinct().collect()}
+        triples = [s for s in sets_of(3) if all(frozenset(p) in within for p in combinations(s, 2))] if max_order > 2 else []
+        if triples:
+            if few:
+                bounded = most(pairs) <= PACKED_VALUES or growing.count() <= PACKED_VALUES
+                third = _packed(rows, numbered, names, triples, sums, growing.select(F.col("_p").alias("_pair")) if bounded else None).drop("_p")
+            else:
+                third = _by_sets(base, values, names, triples, sums, grouped)
+            found = found.union(_with_growing_pairs(_settled(judged(third), most(triples)), growing, names).select(columns))
     return found.select(
         *[F.col(f"{n}.v").alias(a) for a, n in zip(attributes, names, strict=True)],
         *[F.col(f"_m_{k}").alias(k) for k in aggregates], *[m.name for m in metrics], F.col("_order").alias("order"),
+        F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(a)) for a, n in zip(attributes, names, strict=True)])).alias("present"),
     )
