@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,31 +26,37 @@ def numbers(df: DataFrame, column: str, alias: str = "v") -> DataFrame:
 def order_statistics(values: DataFrame, ranks: Sequence[int], n: int) -> dict[int, float]:
     """The values of some 1-based ranks of column ``v``.
 
-    Sketches bracket a rank ever closer until at most ``BRACKET`` values are left; so no pass
-    sorts or shuffles the column.
+    Sketches bracket the ranks ever closer until at most ``BRACKET`` values are left for each; so no pass
+    sorts or shuffles the column. All ranks share each pass: one for sketches, one for counts, one for the rest.
     """
-    out = {}
-    for rank in sorted(set(ranks)):
-        lo, hi, below, inside = -math.inf, math.inf, 0, n
-        while inside > BRACKET:
-            part = values.where((F.col("v") >= lo) & (F.col("v") <= hi)) if inside < n else values
-            share, width = (rank - below) / inside, 0.002
-            ends = part.select(F.percentile_approx("v", [max(0.0, share - width), min(1.0, share + width)], 10_000)).first()[0]
-            a, b = ends
-            if share - width <= 0:
-                a = lo
-            if share + width >= 1:
-                b = hi
-            less, within = values.agg(F.count_if(F.col("v") < a), F.count_if((F.col("v") >= a) & (F.col("v") <= b))).first()
-            if a == b or within == inside or not less < rank <= less + within:
-                # Ties or an unlucky sketch: settle by counts of the distinct values left.
-                break
-            lo, hi, below, inside = a, b, less, within
-        part = values.where((F.col("v") >= lo) & (F.col("v") <= hi))
-        if inside <= BRACKET:
-            out[rank] = sorted(r[0] for r in part.collect())[rank - below - 1]
-        else:
-            out[rank] = cumulated(part.withColumn("w", F.lit(1)), "v", "w").where(F.col("upto") >= rank - below).agg(F.min("v")).first()[0]
+    v, width = F.col("v"), 0.002
+    #: rank -> (lowest, highest, values below, values inside)
+    at = {r: (-math.inf, math.inf, 0, n) for r in sorted(set(ranks))}
+    tied: set[int] = set()
+    within = lambda r: (v >= at[r][0]) & (v <= at[r][1])
+    while wide := [r for r, b in at.items() if b[3] > BRACKET and r not in tied]:
+        by_bracket: dict[tuple, list[int]] = {}
+        for r in wide:
+            by_bracket.setdefault(at[r], []).append(r)
+        share = {r: (r - at[r][2]) / at[r][3] for r in wide}
+        points = lambda rs: [p for r in rs for p in (max(0.0, share[r] - width), min(1.0, share[r] + width))]  # noqa: B023, E731
+        sketches = values.agg(*[F.percentile_approx(v if b[3] == n else F.when(within(rs[0]), v), points(rs), 10_000) for b, rs in by_bracket.items()]).first()
+        ends = {}
+        for (b, rs), found in zip(by_bracket.items(), sketches, strict=True):
+            for r, lo, hi in zip(rs, found[::2], found[1::2], strict=True):
+                ends[r] = (b[0] if share[r] - width <= 0 else lo, b[1] if share[r] + width >= 1 else hi)
+        counts = values.agg(*[F.count_if(c) for lo, hi in ends.values() for c in (v < lo, (v >= lo) & (v <= hi))]).first()
+        for (r, (lo, hi)), less, inside in zip(ends.items(), counts[::2], counts[1::2], strict=True):
+            if lo == hi or inside == at[r][3] or not less < r <= less + inside:
+                tied.add(r)  # ties or an unlucky sketch: settled by counts of the distinct values left
+            else:
+                at[r] = (lo, hi, less, inside)
+    few = [r for r, b in at.items() if b[3] <= BRACKET]
+    held = sorted(x[0] for x in values.where(reduce(or_, map(within, few))).collect()) if few else []
+    # ``held`` may have values of several brackets; each is a run of it.
+    out = {r: held[bisect_left(held, at[r][0]) + r - at[r][2] - 1] for r in few}
+    for r in at.keys() - out.keys():
+        out[r] = cumulated(values.where(within(r)).withColumn("w", F.lit(1)), "v", "w").where(F.col("upto") >= r - at[r][2]).agg(F.min("v")).first()[0]
     return out
 
 
@@ -87,20 +96,26 @@ def cumulated(df: DataFrame, value: str, weight: str) -> DataFrame:
     return out.withColumn("upto", F.col("_start") + F.sum(quoted(weight)).over(inside)).drop("_range", "_start")
 
 
-def weighted_percentile(df: DataFrame, value: str, weight: str, percent: float) -> float:
-    """A data value: walking from the nearer end, the first at which the weights reach the whole part of their share.
+def weighted_percentiles(df: DataFrame, value: str, weight: str, percents: Sequence[float]) -> list[float]:
+    """Data values: walking from the nearer end, the first at which the weights reach the whole part of their share.
 
-    Sums of fractional weights are only known to rounding, hence the slack.
+    Sums of fractional weights are only known to rounding, hence the slack. One cumulated table serves all of them.
     """
     table = cumulated(df.select(F.col(quoted(value)).cast("double").alias("v"), F.col(quoted(weight)).cast("double").alias("w")), "v", "w")
     total = table.agg(F.sum("w")).first()[0]
     if total is None:
-        return math.nan
-    if percent <= 50:
-        reached = F.col("upto") >= int(round(percent / 100 * total, 6)) - 1e-6
-        return table.where(reached).agg(F.min("v")).first()[0]
-    reached = F.lit(total) - F.col("upto") + F.col("w") >= int(round((100 - percent) / 100 * total, 6)) - 1e-6
-    return table.where(reached).agg(F.max("v")).first()[0]
+        return [math.nan for _ in percents]
+
+    def reached(percent: float) -> Column:
+        if percent <= 50:
+            return F.min(F.when(F.col("upto") >= int(round(percent / 100 * total, 6)) - 1e-6, F.col("v")))
+        return F.max(F.when(F.lit(total) - F.col("upto") + F.col("w") >= int(round((100 - percent) / 100 * total, 6)) - 1e-6, F.col("v")))
+
+    return list(table.agg(*[reached(p) for p in percents]).first())
+
+
+def weighted_percentile(df: DataFrame, value: str, weight: str, percent: float) -> float:
+    return weighted_percentiles(df, value, weight, [percent])[0]
 
 
 def normal_table() -> list[float]:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import interpolated, normal_cdf, percentiles, weighted_percentile
+from ..functions.stats import interpolated, normal_cdf, percentiles, weighted_percentiles
 from ..runtime import quoted
 
 OUTLIER = "_OUTLIER"
@@ -60,7 +60,8 @@ def predicate_cube_classify(df: DataFrame, count: str, metric: str, op: str, val
 
 
 def arithmetic_cutoffs(df: DataFrame, count: str, mean: str, percentile: float) -> tuple[float, float]:
-    return weighted_percentile(df, mean, count, percentile), weighted_percentile(df, mean, count, 100 - percentile)
+    low, high = weighted_percentiles(df, mean, count, [percentile, 100 - percentile])
+    return low, high
 
 
 def arithmetic_classify(
@@ -98,7 +99,7 @@ def quantile_classify(
     n = F.col(quoted(count)).cast("double")
     middles = [F.struct(((a + b) / 2).alias("v"), (n * (qb - qa)).alias("w")) for a, b, qa, qb in zip(cols[:-1], cols[1:], shares[:-1], shares[1:], strict=True)]
     cells = df.select(F.explode(F.array(*middles)).alias("c")).select("c.v", "c.w")
-    low, high = weighted_percentile(cells, "v", "w", percentile), weighted_percentile(cells, "v", "w", 100 - percentile)
+    low, high = weighted_percentiles(cells, "v", "w", [percentile, 100 - percentile])
     ys = [F.lit(q) for q in shares]
 
     def below(x: float) -> Column:
