@@ -74,6 +74,8 @@ def on_grid(score, spark, ranges: dict[str, tuple[float, float]], steps: int = 2
 def bayesian_normal_score(df: DataFrame, column: str, output: str = "_SCORE") -> DataFrame:
     """One over the posterior predictive density (a t distribution) under a weak conjugate normal prior."""
     n, mean, var = df.agg(F.count(_x(column)), F.avg(_x(column)), F.var_pop(_x(column))).first()
+    if not n:
+        return df.withColumn(output, F.lit(None).cast("double"))
     k, nu = n + 1e-3, n + 1.0
     centre = n * mean / k
     beta = 0.5 * (n * var + 1e-3 * n * mean * mean / k) + 1e-9
@@ -107,7 +109,10 @@ def pane_moving_average(batches: DataFrame, order: str, total: str, count: str,
 
 
 def kalman(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], process_noise: float = 1.0, measure_noise: float = 10.0) -> DataFrame:
-    """Per series, constant-velocity Kalman estimates of each value. A series is filtered in order, as one group."""
+    """Per series, constant-velocity Kalman estimates of each value. A series is filtered in order, as one group.
+
+    A null is no measurement: its estimate is the prediction; before the first value there is none.
+    """
     ship_code(df.sparkSession)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -116,16 +121,19 @@ def kalman(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]
         out = {k: [key[i]] * len(rows) for i, k in enumerate(keys)} | {order: rows[order]}
         for c in values:
             z = rows[c].to_numpy(float)
-            state, cov, est = np.array([z[0], 0.0]), np.eye(2) * 1000.0, np.empty(len(z))
-            for i in range(len(z)):
-                dt = t[i] - t[i - 1] if i else 0.0
+            seen = np.flatnonzero(~np.isnan(z))
+            first = int(seen[0]) if len(seen) else len(z)
+            state, cov, est = np.array([z[first] if len(seen) else 0.0, 0.0]), np.eye(2) * 1000.0, np.full(len(z), np.nan)
+            for i in range(first, len(z)):
+                dt = t[i] - t[i - 1] if i > first else 0.0
                 step = np.array([[1.0, dt], [0.0, 1.0]])
                 noise = process_noise * np.array([[dt**4 / 4, dt**3 / 2], [dt**3 / 2, dt**2]])
                 state, cov = step @ state, step @ cov @ step.T + noise
-                gain = cov[:, 0] / (cov[0, 0] + measure_noise)
-                state, cov = state + gain * (z[i] - state[0]), cov - np.outer(gain, cov[0])
+                if not np.isnan(z[i]):
+                    gain = cov[:, 0] / (cov[0, 0] + measure_noise)
+                    state, cov = state + gain * (z[i] - state[0]), cov - np.outer(gain, cov[0])
                 est[i] = state[0]
-            out[f"{c}_estimate"] = est
+            out[f"{c}_estimate"] = pd.Series(est, dtype=object).where(~np.isnan(est), None)
         return pd.DataFrame(out)
 
     kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keys, order]] + [f"`{c}_estimate` double" for c in values]

@@ -81,8 +81,9 @@ class ZScore:
 
 
 def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Means and the sample covariance matrix, in one aggregation."""
+    """Means and the sample covariance matrix of the rows without a null or NaN, in one aggregation."""
     k = len(columns)
+    df = df.select(*[_x(c).alias(c) for c in columns]).dropna()
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     row = df.agg(*[F.avg(_x(c)) for c in columns], *[F.covar_samp(_x(columns[i]), _x(columns[j])) for i, j in pairs]).first()
     out = np.zeros((k, k))
@@ -112,11 +113,12 @@ class Mahalanobis:
 
 
 def winsorize(df: DataFrame, columns: Sequence[str], trim: float = 5.0) -> DataFrame:
-    """Each metric clamped at its ``trim`` and 100 - ``trim`` percentiles."""
+    """Each metric clamped at its ``trim`` and 100 - ``trim`` percentiles; nulls and NaNs stay what they are."""
     out = {}
     for c in columns:
         low, high = percentiles(df, c, [trim, 100 - trim])
-        out[c] = F.least(F.greatest(_x(c), F.lit(low)), F.lit(high))
+        clamped = F.least(F.greatest(_x(c), F.lit(low)), F.lit(high))
+        out[c] = F.when(_x(c).isNull() | F.isnan(_x(c)), _x(c)).otherwise(clamped)
     return df.withColumns(out)
 
 
@@ -151,8 +153,10 @@ def min_cov_det(df: DataFrame, columns: Sequence[str], alpha: float = 0.5, delta
     return fit
 
 
-def scorer(name: str, df: DataFrame, columns: Sequence[str], **options):
-    """MAD_OR_MCD, MAD, MCD, RCOV or ZSCORE, or any callable."""
+def scorer(name: str | Callable, df: DataFrame, columns: Sequence[str], **options):
+    """A fitted scorer: MAD_OR_MCD, MAD, MCD, RCOV, ZSCORE, or a callable that fits one to (df, columns)."""
+    if callable(name):
+        return name(df, columns, **options)
     fits: dict[str, Callable] = {
         "MAD_OR_MCD": lambda: Mad.fit(df, columns[0]) if len(columns) == 1 else min_cov_det(df, columns, **options),
         "MAD": lambda: Mad.fit(df, columns[0]),
@@ -165,7 +169,7 @@ def scorer(name: str, df: DataFrame, columns: Sequence[str], **options):
     return fits[name]()
 
 
-def score(df: DataFrame, name: str, columns: Sequence[str], output: str = SCORE, **options) -> DataFrame:
+def score(df: DataFrame, name: str | Callable, columns: Sequence[str], output: str = SCORE, **options) -> DataFrame:
     """``df`` with the scores of a scorer fitted to it."""
     return df.withColumn(output, scorer(name, df, columns, **options).score())
 
@@ -194,8 +198,9 @@ def min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def low_metric(df: DataFrame, columns: Sequence[str], floor: float = 0.1) -> DataFrame:
-    """1 / max(x, floor): low values become high."""
-    return df.withColumns({c: F.lit(1.0) / F.greatest(_x(c), F.lit(floor)) for c in columns})
+    """1 / max(x, floor): low values become high; nulls and NaNs stay what they are."""
+    high = lambda x: F.when(x.isNull() | F.isnan(x), x).otherwise(F.lit(1.0) / F.greatest(x, F.lit(floor)))
+    return df.withColumns({c: high(_x(c)) for c in columns})
 
 
 # Vectors: an array column.
@@ -203,15 +208,23 @@ def truncate(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     return df.withColumn(column, F.slice(F.col(quoted(column)), 1, k))
 
 
+def projection_matrix(length: int, k: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, length]).normal(scale=1 / math.sqrt(length), size=(k, length))
+
+
 def random_projection(df: DataFrame, column: str, k: int = 10, seed: int = 11, output: str | None = None) -> DataFrame:
     """A seeded Gaussian projection on ``k`` directions, of variance 1 over the length."""
     ship_code(df.sparkSession)
 
     @F.pandas_udf("array<double>")
     def project(v: pd.Series) -> pd.Series:
+        matrices: dict[int, np.ndarray] = {}
+
         def one(x):
             a = np.asarray(x, dtype=float)
-            return (np.random.default_rng([seed, len(a)]).normal(scale=1 / math.sqrt(len(a)), size=(k, len(a))) @ a).tolist()
+            if len(a) not in matrices:
+                matrices[len(a)] = projection_matrix(len(a), k, seed)
+            return (matrices[len(a)] @ a).tolist()
 
         return v.map(lambda x: None if x is None or not len(x) else one(x))
 
