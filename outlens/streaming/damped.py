@@ -9,7 +9,6 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Sequence
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scoring import MAD_TO_SIGMA
 from ..runtime import quoted
+from .windows import items_of, tracked_counts
 
 
 def weighted_sample(df: DataFrame, k: int, weight: Column | float = 1.0, seed: int = 1) -> DataFrame:
@@ -166,44 +166,40 @@ class MaintainedCounter:
 
 
 class DampedItemsets:
-    """Damped counts of attribute combinations among outliers and inliers, with a corrected risk ratio."""
+    """Damped counts of attribute combinations among outliers and inliers, with a corrected risk ratio.
 
-    def __init__(self, attributes: Sequence[str], outlier: str = "_OUTLIER", decay: float = 0.01, min_support: float = 0.001, min_ratio: float = 3.0, max_order: int = 3, capacity: int = 100_000):
+    A combination is tracked from the first micro-batch in which a share ``min_support`` of the outliers has it (at most
+    sets / min_support new ones a batch), and counted in every batch from then on, with or without outliers. A null value
+    is a value like any other.
+    """
+
+    def __init__(self, attributes: Sequence[str], outlier: str = "_OUTLIER", decay: float = 0.01, min_support: float = 0.001, min_ratio: float = 3.0, max_order: int = 3):
         self.attributes, self.outlier, self.decay = list(attributes), outlier, decay
         self.min_support, self.min_ratio, self.max_order = min_support, min_ratio, max_order
-        self.capacity = capacity
         self.totals = [0.0, 0.0]
-        self.counts: dict[frozenset, list[float]] = {}
+        self.counts: dict[tuple[int, tuple], list[float]] = {}
 
     def consume(self, batch: DataFrame) -> None:
-        names = [quoted(a) for a in self.attributes]
-        sets = [s for k in range(1, self.max_order + 1) for s in combinations(names, k)]
-        blank = F.lit(None).cast("string")
-        structs = [F.struct(*[(F.col(n).cast("string") if n in s else blank).alias(a) for n, a in zip(names, self.attributes, strict=True)]) for s in sets]
-        hit = F.col(quoted(self.outlier)) > 0
-        out, every = batch.agg(F.count_if(hit), F.count("*")).first()
+        out, rest, here = tracked_counts(batch, self.attributes, self.outlier, self.max_order, list(self.counts), lambda n: max(1.0, self.min_support * n))
         factor = 1 - self.decay
-        self.totals = [self.totals[0] * factor + out, self.totals[1] * factor + every - out]
-        counted = batch.select(hit.alias("_o"), F.explode(F.array(*structs)).alias("s")).groupBy("s").agg(F.count_if("_o").alias("o"), F.count("*").alias("n"))
-        # Sets of enough outliers now, and of these at most ``capacity``; sets already kept are looked up by them too.
-        rows = counted.where(F.col("o") >= max(1.0, self.min_support * out)).orderBy(F.desc("o")).limit(self.capacity).collect()
+        self.totals = [self.totals[0] * factor + out, self.totals[1] * factor + rest]
         self.counts = {s: [o * factor, i * factor] for s, (o, i) in self.counts.items()}
-        for r in rows:
-            s = frozenset((a, r["s"][a]) for a in self.attributes if r["s"][a] is not None)
-            if s:
-                kept = self.counts.setdefault(s, [0.0, 0.0])
-                kept[0] += r["o"]
-                kept[1] += r["n"] - r["o"]
+        for s, (o, i) in here.items():
+            kept = self.counts.setdefault(s, [0.0, 0.0])
+            kept[0] += o
+            kept[1] += i
+        # Those far below the support are no longer worth their place.
         least = self.min_support * self.totals[0] / 4
         self.counts = {s: c for s, c in self.counts.items() if c[0] >= least}
 
     def results(self) -> list[dict]:
         out = []
         for s, (o, i) in self.counts.items():
+            items = items_of(s, self.attributes, self.max_order)
             r = corrected(o, i, self.totals[0] - o, self.totals[1] - i)
-            if o >= self.min_support * self.totals[0] and (r >= self.min_ratio if len(s) > 1 else r > self.min_ratio):
-                out.append({"items": dict(sorted(s)), "records": o, "support": o / self.totals[0], "ratio": r})
-        return sorted(out, key=lambda x: (-x["records"], -len(x["items"]), sorted(x["items"].items())))
+            if o >= self.min_support * self.totals[0] and (r >= self.min_ratio if len(items) > 1 else r > self.min_ratio):
+                out.append({"items": items, "records": o, "support": o / self.totals[0], "ratio": r})
+        return sorted(out, key=lambda x: (-x["records"], -len(x["items"]), str(sorted(x["items"].items(), key=str))))
 
 
 def corrected(exposed_out: float, exposed_in: float, other_out: float, other_in: float) -> float:

@@ -2,7 +2,8 @@
 
 State is bounded by the support: each tracked set held a share ``min_support`` of some pane's
 outliers. Every pane costs two distributed aggregations; only tracked sets' counts reach
-the driver. Counts of a set start when its tracking does, so they approximate a full recount.
+the driver. Counts of a set start when its tracking does, so they approximate a full recount; for
+sets tracked since the first pane of the window they are one. A null value is a value like any other.
 """
 
 from __future__ import annotations
@@ -11,13 +12,12 @@ from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.fpgrowth import _ratio
-from ..runtime import quoted
-from .windows import windowed_counts
+from .windows import items_of, tracked_counts
 
-Items = frozenset
+#: A set's place among the attribute sets, and its values.
+Key = tuple[int, tuple]
 
 
 class IncrementalExplainer:
@@ -27,40 +27,25 @@ class IncrementalExplainer:
         self.attributes, self.outlier, self.panes = list(attributes), outlier, panes
         self.min_support, self.min_ratio, self.max_order = min_support, min_ratio, max_order
         self.totals: deque[tuple[float, float]] = deque(maxlen=panes)  # outliers, inliers
-        self.tracked: dict[Items, deque[tuple[float, float]]] = {}
+        self.tracked: dict[Key, deque[tuple[float, float]]] = {}
 
     def __call__(self, pane: DataFrame, _batch: int) -> None:
         self.process(pane)
 
     def process(self, pane: DataFrame) -> None:
-        mark = F.col(quoted(self.outlier))
-        rows = pane.select(*[quoted(a) for a in self.attributes], (mark > 0).cast("double").alias("_o"), F.timestamp_seconds(F.lit(0)).alias("_t"))
-        counts = windowed_counts(rows, "_t", "1 day", "1 day", self.attributes, "_o", self.max_order).drop("window_start")
-        whole = counts.where(F.col("order") == 0).first()
-        outliers = whole["outliers"] if whole else 0.0
-        inliers = whole["count"] - outliers if whole else 0.0
+        least = lambda outliers: self.min_support * outliers if self.min_support * outliers >= 1 else float("inf")
+        outliers, inliers, here = tracked_counts(pane, self.attributes, self.outlier, self.max_order, list(self.tracked), least)
         self.totals.append((outliers, inliers))
-        wanted = F.col("outliers") >= max(1.0, self.min_support * outliers) if self.min_support * outliers >= 1 else F.lit(False)
-        if self.tracked:
-            keys = [[dict(s).get(a) for a in self.attributes] for s in self.tracked]
-            known = pane.sparkSession.createDataFrame(keys, ", ".join(f"`{a}` string" for a in self.attributes)).withColumn("_known", F.lit(True))
-            # As many rows as tracked sets.
-            same = [counts[quoted(a)].eqNullSafe(known[quoted(a)]) for a in self.attributes]
-            joined = counts.join(F.broadcast(known), same, "left").where((F.col("order") > 0) & (wanted | F.col("_known").isNotNull()))
-            found = joined.select(*[counts[quoted(a)] for a in self.attributes], "outliers", "count").collect()
-        else:
-            found = counts.where((F.col("order") > 0) & wanted).collect()
-        here = {Items((a, r[a]) for a in self.attributes if r[a] is not None): (r["outliers"], r["count"] - r["outliers"]) for r in found}
         for s in {*self.tracked, *here}:
             self.tracked.setdefault(s, deque(maxlen=self.panes)).append(here.get(s, (0.0, 0.0)))
         self.tracked = {s: q for s, q in self.tracked.items() if self._supported(s)}
 
-    def _since(self, s: Items) -> tuple[float, float, float, float]:
+    def _since(self, s: Key) -> tuple[float, float, float, float]:
         q = self.tracked[s]
         totals = list(self.totals)[-len(q) :]
         return sum(o for o, _ in q), sum(i for _, i in q), sum(o for o, _ in totals), sum(i for _, i in totals)
 
-    def _supported(self, s: Items) -> bool:
+    def _supported(self, s: Key) -> bool:
         o, _, outliers, _ = self._since(s)
         return o > 0 and o >= self.min_support * outliers
 
@@ -71,5 +56,5 @@ class IncrementalExplainer:
             o, i, outliers, inliers = self._since(s)
             r = _ratio(o, outliers, i, inliers)
             if r >= self.min_ratio:
-                out.append({"items": dict(sorted(s)), "records": o, "support": o / outliers, "ratio": r})
-        return sorted(out, key=lambda x: (-x["ratio"], -x["records"], sorted(x["items"].items())))
+                out.append({"items": items_of(s, self.attributes, self.max_order), "records": o, "support": o / outliers, "ratio": r})
+        return sorted(out, key=lambda x: (-x["ratio"], -x["records"], str(sorted(x["items"].items(), key=str))))
