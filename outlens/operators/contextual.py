@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import checkpointed, quoted
@@ -43,11 +43,13 @@ class Interval:
 Context = tuple[Interval, ...]
 
 
-def base_intervals(df: DataFrame, discrete: Sequence[str], numeric: Sequence[str], bins: int = BINS, least: float = 0.0) -> list[Interval]:
-    """Values whose count reaches ``least`` (so few), and equal-width intervals."""
+def base_intervals(df: DataFrame, discrete: Sequence[str], numeric: Sequence[str], bins: int = BINS, least: float = 1.0) -> list[Interval]:
+    """Values whose count reaches ``least`` (at most rows / least of them), and equal-width intervals."""
+    if least <= 0:
+        raise ValueError("the least count of a value must be positive")
     out = []
     for d in discrete:
-        rows = df.groupBy(F.col(quoted(d)).cast("string").alias("v")).count().where((F.col("count") >= max(least, 1)) & F.col("v").isNotNull()).orderBy("v").limit(10_000).collect()
+        rows = df.groupBy(F.col(quoted(d)).cast("string").alias("v")).count().where((F.col("count") >= least) & F.col("v").isNotNull()).orderBy("v").collect()
         out += [Interval(d, r.v) for r in rows]
     for d in numeric:
         low, high = df.agg(F.min(F.col(quoted(d)).cast("double")), F.max(F.col(quoted(d)).cast("double"))).first()
@@ -60,15 +62,19 @@ def base_intervals(df: DataFrame, discrete: Sequence[str], numeric: Sequence[str
 
 def dense_contexts(df: DataFrame, discrete: Sequence[str], numeric: Sequence[str], density: float = DENSITY, bins: int = BINS, max_level: int = MAX_LEVEL) -> list[tuple[Context, int]]:
     """Contexts with at least a share ``density`` of the rows, and their counts; each level is one aggregation."""
+    if density <= 0:
+        raise ValueError("the density must be positive")
     n = df.count()
+    if not n:
+        return []
     least = density * n
     level: list[Context] = [(i,) for i in base_intervals(df, discrete, numeric, bins, least)]
     out: list[tuple[Context, int]] = []
     for _ in range(max_level):
         if not level:
             break
-        counts = df.agg(*[F.count_if(_all(c)).alias(f"c{i}") for i, c in enumerate(level)]).first()
-        dense = [(c, counts[f"c{i}"]) for i, c in enumerate(level) if counts[f"c{i}"] >= least]
+        counts = _counts(df, level)
+        dense = [(c, counts[i]) for i, c in enumerate(level) if counts.get(i, 0) >= least]
         out += dense
         kept = {frozenset(c) for c, _ in dense}
         nxt: dict[frozenset, Context] = {}
@@ -82,6 +88,16 @@ def dense_contexts(df: DataFrame, discrete: Sequence[str], numeric: Sequence[str
     return out
 
 
+def _inside(contexts: Sequence[Context]) -> Column:
+    """The places of the contexts that hold a row."""
+    return F.filter(F.array(*[F.when(_all(c), F.lit(i)) for i, c in enumerate(contexts)]), lambda i: i.isNotNull())
+
+
+def _counts(df: DataFrame, contexts: Sequence[Context]) -> dict[int, int]:
+    """Rows of each context; one row per context reaches the driver."""
+    return {r["c"]: r["count"] for r in df.select(F.explode(_inside(contexts)).alias("c")).groupBy("c").count().collect()}
+
+
 def _all(context: Context) -> Column:
     out = F.lit(True)
     for i in context:
@@ -98,25 +114,36 @@ def contextual_outliers(
 ) -> DataFrame:
     """``df`` rows with ``context`` and ``score``, once for each context that they stand out in.
 
-    The score is |x - median| over the context's median absolute deviation (no spread: none stands out).
+    The score is |x - median| over the context's median absolute deviation (no spread: none stands out). Rows
+    without a metric have no say.
     """
     contexts = [c for c, _ in dense_contexts(df, discrete, numeric, density, bins, max_level)]
     if not contexts:
         return df.withColumns({"context": F.lit(None).cast("string"), "score": F.lit(None).cast("double")}).where(F.lit(False))
     x = F.col(quoted(metric)).cast("double")
-    inside = F.filter(F.array(*[F.when(_all(c), F.lit(i)) for i, c in enumerate(contexts)]), lambda i: i.isNotNull())
-    medians = _medians(df.select(x.alias("_x"), F.explode(inside).alias("_c")).where(F.col("_x").isNotNull() & ~F.isnan("_x")), "_x")
-    offs = df.select(x.alias("_x"), F.explode(inside).alias("_c")).join(F.broadcast(medians), "_c").select("_c", F.abs(F.col("_x") - F.col("median")).alias("_d"))
-    deviations = _medians(offs, "_d").withColumnRenamed("median", "mad")
+    rows = df.select(x.alias("_x"), F.explode(_inside(contexts)).alias("_c")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    # Both broadcasts have one row per context.
+    medians = checkpointed(_medians(rows, "_x"))
+    offs = rows.join(F.broadcast(medians), "_c").select("_c", F.abs(F.col("_x") - F.col("median")).alias("_d"))
+    fit = checkpointed(medians.join(_medians(offs, "_d").withColumnRenamed("median", "mad"), "_c"))
     names = F.element_at(F.create_map(*[v for i, c in enumerate(contexts) for v in (F.lit(i), F.lit(text_of(c)))]), F.col("_c"))
-    fit = checkpointed(medians.join(deviations, "_c"))
-    scored = df.withColumn("_c", F.explode(inside)).join(F.broadcast(fit), "_c").withColumn("score", F.try_divide(F.abs(x - F.col("median")), F.col("mad")))
+    scored = df.withColumn("_c", F.explode(_inside(contexts))).join(F.broadcast(fit), "_c").withColumn("score", F.try_divide(F.abs(x - F.col("median")), F.col("mad")))
     return scored.where(F.col("score") > threshold).withColumn("context", names).drop("_c", "median", "mad")
 
 
 def _medians(rows: DataFrame, column: str) -> DataFrame:
-    """(_c, median): sketched to a rank error of 1 in 100,000, mergeable map-side."""
-    return rows.groupBy("_c").agg(F.percentile_approx(column, 0.5, 100_000).alias("median"))
+    """(_c, median), exact: distinct values of each context are ranked range by range; no context meets in one task."""
+    sums = rows.groupBy("_c", F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    ranged = checkpointed(sums.repartitionByRange("_c", "_v").withColumn("_range", F.spark_partition_id()))
+    # One row per range and context in it.
+    totals = ranged.groupBy("_range", "_c").agg(F.sum("_n").alias("_total"))
+    before = Window.partitionBy("_c").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_range", "_c", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"), F.sum("_total").over(Window.partitionBy("_c")).alias("_all"))
+    within = Window.partitionBy("_range", "_c").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = ranged.join(starts, ["_range", "_c"]).withColumn("_upto", F.col("_start") + F.sum("_n").over(within))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    at = lambda rank: F.max(F.when((F.col("_upto") - F.col("_n") < rank) & (F.col("_upto") >= rank), F.col("_v")))
+    return upto.groupBy("_c").agg(((at(low) + at(high)) / 2).alias("median"))
 
 
 def contexts_of(df: DataFrame, outliers: Column, discrete: Sequence[str], numeric: Sequence[str] = (), density: float = DENSITY, bins: int = BINS) -> list[tuple[str, int]]:
@@ -126,5 +153,5 @@ def contexts_of(df: DataFrame, outliers: Column, discrete: Sequence[str], numeri
     found = dense_contexts(df, discrete, numeric, density, bins)
     if not found or not n:
         return []
-    counts = picked.agg(*[F.count_if(_all(c)).alias(f"c{i}") for i, (c, _) in enumerate(found)]).first()
-    return [(text_of(c), rows) for i, (c, rows) in enumerate(found) if counts[f"c{i}"] == n]
+    counts = _counts(picked, [c for c, _ in found])
+    return [(text_of(c), rows) for i, (c, rows) in enumerate(found) if counts.get(i) == n]

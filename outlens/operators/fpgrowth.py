@@ -105,8 +105,10 @@ def _mined(reduced: DataFrame, attributes: list[str], names: list[str], threshol
     # The library asks for at least ceil(share * n) transactions.
     model = FPGrowth(itemsCol="items", minSupport=max(0.0, (threshold - 0.5) / n), minConfidence=1.0).fit(out.select("items"))
     sets = model.freqItemsets.where(F.col("freq") >= threshold).withColumnRenamed("items", "set")
-    inl = rows.where(~F.col("_out"))
-    counted = sets.join(inl, F.size(F.array_except("set", "items")) == 0, "left").groupBy("set", "freq").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("i"))
+    # A set meets the inliers that hold its last item.
+    inl = rows.where(~F.col("_out")).select("_n", "items", F.explode("items").alias("_item"))
+    met = (F.element_at("set", F.lit(-1)) == F.col("_item")) & (F.size(F.array_except("set", "items")) == 0)
+    counted = sets.join(inl, met, "left").groupBy("set", "freq").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("i"))
     split = lambda x: (attributes[int(x.partition("=")[0])], x.partition("=")[2])
     return {frozenset(map(split, r["set"])): (float(r["freq"]), float(r["i"])) for r in counted.collect()}
 

@@ -78,8 +78,10 @@ def by_group(df: DataFrame, keys: Sequence[str], transform: Callable, schema: st
 
 
 def pretty(df: DataFrame, rows: int = 20) -> str:
-    """The first rows as a table, or one value a line for more than ten columns."""
-    found = df.limit(rows).collect()
+    """A table, or one value a line for more than ten columns; of more than ``rows`` rows the first and the last half."""
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        found = found[: (rows + 1) // 2] + df.tail(rows // 2)
     show = lambda v: "-" if v is None else f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)
     if len(df.columns) > 10:
         return "\n\n".join("\n".join(f"{c}: {show(r[i])}" for i, c in enumerate(df.columns)) for r in found)
