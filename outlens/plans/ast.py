@@ -56,7 +56,7 @@ class Binary:
 
 @dataclass(frozen=True)
 class Test:
-    """IS NULL, BETWEEN, IN and LIKE, perhaps negated."""
+    """IS NULL, BETWEEN, IN and LIKE, perhaps negated; a comparison with ALL or ANY of a query has its operator in ``kind``."""
 
     kind: str
     of: Any
@@ -72,6 +72,8 @@ class Test:
             return f"({of} {no}BETWEEN {args[0]} AND {args[1]})"
         if self.kind == "EXISTS":
             return f"({no}EXISTS ({args[0]}))"
+        if self.kind.endswith((" ALL", " ANY")):
+            return f"({of} {self.kind} ({args[0]}))"
         return f"({of} {no}IN ({', '.join(args)}))" if self.kind == "IN" else f"({of} {no}LIKE {args[0]})"
 
 
