@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import explain, scoring, sql  # noqa: F401  they register themselves
+    from . import engine, explain, scoring, sql  # noqa: F401  they register themselves
 
     return dict(explain.QUERIES)
 
 
 def all_oracles() -> dict[str, str]:
-    from . import explain, scoring, sql  # noqa: F401
+    from . import engine, explain, scoring, sql  # noqa: F401
 
     return dict(explain.ORACLES)

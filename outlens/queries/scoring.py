@@ -10,6 +10,7 @@ from ..streaming import damped, windows
 from ..streaming.incremental import IncrementalExplainer
 from . import oracle as o
 from .explain import query, rounded, table
+from .sql import shared_folder
 
 _H = 3_600_000_000
 
@@ -82,6 +83,40 @@ def covariance_matrix(spark, d):
     return spark.createDataFrame([row], "mx double, my double, sx double, sy double, sxy double")
 
 
+# Null and NaN metrics: every seventh order has none.
+_GAPS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS x FROM orders)"
+
+
+def _gaps(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("x"))
+
+
+@query(f"WITH a AS ({o.r6(_GAPS[:-1] + ' WHERE o_orderkey % 7 <> 0)', 'x', [5, 95])}) SELECT o_orderkey, CASE WHEN x IS NOT NULL THEN round(least(greatest(x, p0), p1), 6) END AS x FROM {_GAPS} g, a")
+def winsorize_nulls(spark, d):
+    return rounded(m.winsorize(_gaps(spark, d), ["x"]))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN x IS NOT NULL THEN round(1 / greatest(x, 0.1), 12) END AS x FROM {_GAPS} g")
+def low_metric_nulls(spark, d):
+    return rounded(m.low_metric(_gaps(spark, d), ["x"]), 12)
+
+
+@query(f"""WITH g AS (SELECT g.o_orderkey, x, CAST(o_custkey AS DOUBLE) AS y FROM {_GAPS} g JOIN orders USING (o_orderkey)),
+           a AS ({o.r6("(SELECT x FROM g WHERE x IS NOT NULL)", "x", [5, 95])}), c AS ({o.r6("g", "y", [5, 95])}),
+           w AS (SELECT least(greatest(x, a.p0), a.p1) AS x, least(greatest(y, c.p0), c.p1) AS y FROM g, a, c WHERE x IS NOT NULL),
+           s AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS sx, var_samp(y) AS sy, covar_samp(x, y) AS sxy FROM w)
+           SELECT o_orderkey, round((sy * (x - mx) * (x - mx) - 2 * sxy * (x - mx) * (y - my) + sx * (y - my) * (y - my)) / (sx * sy - sxy * sxy), 5) AS score FROM g, s""")
+def robust_covariance_nulls(spark, d):
+    rows = _gaps(spark, d).join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("y")), "o_orderkey")
+    return rounded(m.score(rows, "RCOV", ["x", "y"], output="score").select("o_orderkey", "score"), 5)
+
+
+@query("SELECT o_orderkey, round(abs(o_totalprice - c) / s, 6) AS score FROM orders, (SELECT avg(o_totalprice) AS c, stddev_pop(o_totalprice) AS s FROM orders) q")
+def score_by_callable(spark, d):
+    fit = lambda df, columns: m.ZScore.fit(df, columns[0])
+    return rounded(m.score(table(spark, d, "orders"), fit, ["o_totalprice"], output="score").select("o_orderkey", "score"))
+
+
 # Without a form in SQL.
 @query()
 def score_min_cov_det(spark, d):
@@ -89,51 +124,154 @@ def score_min_cov_det(spark, d):
 
 
 @query()
+def gaussian_mixture(spark, d):
+    return density.mixture(table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], 3)
+
+
+# Vectors of 64 numbers.
+def _projection_sql() -> str:
+    rows = m.projection_matrix(64, 10, 11).tolist()
+    dots = ", ".join(f"round(list_dot_product(CAST(embedding AS DOUBLE[]), {row}), 6)" for row in rows)
+    return f"SELECT vec_id, [{dots}] AS embedding FROM embeddings"
+
+
+@query(_projection_sql())
 def random_projection(spark, d):
-    return m.random_projection(table(spark, d, "embeddings"), "embedding", 10).select("vec_id", "embedding")
+    out = m.random_projection(table(spark, d, "embeddings"), "embedding", 10, 11)
+    return out.select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
-@query()
+_ANGLE = "2 * pi() * ((j * k) % 64) / 64"
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings), f AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS k)
+        SELECT vec_id, k, round(sum(x * cos({_ANGLE})), 4) + 0.0 AS re, round(sum(-x * sin({_ANGLE})), 4) + 0.0 AS im FROM e, f GROUP BY 1, 2"""
+)
 def fft_spectrum(spark, d):
-    return m.fft(table(spark, d, "embeddings"), "embedding").select("vec_id", "embedding")
+    out = m.fft(table(spark, d, "embeddings"), "embedding").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"))
+    part = lambda at: F.round(F.get("embedding", 2 * F.col("k") + at), 4) + 0.0
+    return out.select("vec_id", "k", part(0).alias("re"), part(1).alias("im"))
 
 
-@query()
+_HOURS = f"h AS (SELECT event_type, CAST(floor(us / {_H}) AS DOUBLE) AS hour, avg(value) AS value FROM (SELECT *, epoch_us(ts) AS us FROM events) e GROUP BY 1, 2)"
+
+
+def _hourly(spark, d):
+    return table(spark, d, "events").groupBy("event_type", _hours().alias("hour")).agg(F.avg("value").alias("value"))
+
+
+@query(
+    f"""WITH {_HOURS}, c AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS i, value - avg(value) OVER (PARTITION BY event_type) AS x FROM h),
+        p AS (SELECT a.event_type, b.i - a.i AS lag, sum(a.x * b.x) AS s FROM c a JOIN c b ON a.event_type = b.event_type AND b.i - a.i BETWEEN 0 AND 24 GROUP BY 1, 2)
+        SELECT p.event_type, CAST(p.lag AS INTEGER) AS lag, CASE WHEN p.lag = 0 THEN 0.0 ELSE round(p.s / z.s, 6) + 0.0 END AS correlation FROM p JOIN p z ON p.event_type = z.event_type AND z.lag = 0"""
+)
 def autocorrelation(spark, d):
-    rows = table(spark, d, "events").groupBy("event_type", _hours().alias("hour")).agg(F.avg("value").alias("value"))
-    return m.autocorrelate(rows, ["event_type"], "hour", "value", 24)
+    out = m.autocorrelate(_hourly(spark, d), ["event_type"], "hour", "value", 24)
+    return out.withColumn("correlation", F.round("correlation", 6) + 0.0)
 
 
-@query()
+_WIDTH = "k AS (SELECT count(*) AS n, stddev_samp(p_retailprice) * pow(4.0 / (3.0 * count(*)), 0.2) AS width, min(p_retailprice) AS lo, (max(p_retailprice) - min(p_retailprice)) / 200 AS cell FROM part)"
+_KERNEL = "round(sum(CASE WHEN abs((x.pos - p_retailprice) / width) < 1 THEN 0.75 * (1 - pow((x.pos - p_retailprice) / width, 2)) ELSE 0 END) / (any_value(n) * any_value(width)), 12) AS density"
+
+
+@query(f"WITH {_WIDTH}, x AS (SELECT p_partkey, p_retailprice AS pos FROM part) SELECT x.p_partkey, {_KERNEL} FROM x, part, k GROUP BY 1")
 def kernel_density(spark, d):
-    return density.kernel_density(table(spark, d, "events").select("event_id", "value"), ["value"])
+    """All rows are kernels."""
+    rows = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    return rounded(density.kernel_density(rows, ["p_retailprice"], share=1.0, output="density").select("p_partkey", "density"), 12)
 
 
-@query()
+@query(f"WITH {_WIDTH}, x AS (SELECT p_partkey, lo + (floor((p_retailprice - lo) / cell) + 0.5) * cell AS pos FROM part, k) SELECT x.p_partkey, {_KERNEL} FROM x, part, k GROUP BY 1")
 def binned_density(spark, d):
-    return density.kernel_density(table(spark, d, "events").select("event_id", "value"), ["value"], bins=200)
+    rows = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    return rounded(density.kernel_density(rows, ["p_retailprice"], share=1.0, bins=200, output="density").select("p_partkey", "density"), 12)
 
 
-@query()
+_Z = "(SELECT avg(l_extendedprice) AS c, stddev_pop(l_extendedprice) AS s FROM lineitem)"
+
+
+@query(f"SELECT CAST(10000 + i * 1000 AS DOUBLE) AS l_extendedprice, round(abs(10000 + i * 1000 - c) / s, 6) AS score FROM (SELECT unnest(range(21)) AS i) g, {_Z} z")
+def score_grid(spark, d):
+    fit = m.ZScore.fit(table(spark, d, "lineitem"), "l_extendedprice")
+    return rounded(density.on_grid(lambda g: g.withColumn("score", fit.score()), spark, {"l_extendedprice": (10000.0, 30000.0)}, 20))
+
+
+def _posterior_sql(rows: str) -> str:
+    return f"""WITH g AS ({rows}), s AS (SELECT count(value) AS n, avg(value) AS mean, var_pop(value) AS v FROM g),
+        t AS (SELECT n * mean / (n + 0.001) AS centre, n + 1.0 AS nu, (0.5 * (n * v + 0.001 * n * mean * mean / (n + 0.001)) + 1e-9) * (n + 1.001) / ((n + 1.0) / 2 * (n + 0.001)) AS scale FROM s)
+        SELECT event_id, round((nu + 1) / 2 * ln(1 + (value - centre) * (value - centre) / (nu * scale)) - (lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * ln(nu * pi() * scale)), 5) AS log_score FROM g, t"""
+
+
+def _log_posterior(df):
+    out = density.bayesian_normal_score(df, "value")
+    return out.select("event_id", F.round(F.log("_SCORE"), 5).alias("log_score"))
+
+
+@query(_posterior_sql("SELECT event_id, value FROM events"))
 def bayesian_normal(spark, d):
-    return density.bayesian_normal_score(table(spark, d, "events").select("event_id", "value"), "value")
+    return _log_posterior(table(spark, d, "events").select("event_id", "value"))
 
 
-@query()
+@query(_posterior_sql("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS value FROM events"))
+def bayesian_normal_nulls(spark, d):
+    return _log_posterior(table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value")))
+
+
+@query("SELECT event_id, CAST(NULL AS DOUBLE) AS log_score FROM events WHERE value < 1")
+def bayesian_normal_without_values(spark, d):
+    return _log_posterior(table(spark, d, "events").where("value < 1").select("event_id", F.lit(None).cast("double").alias("value")))
+
+
+@query(
+    f"""WITH RECURSIVE {_HOURS}, o AS (SELECT event_type, hour, CASE WHEN CAST(hour AS BIGINT) % 7 <> 0 THEN value END AS z, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS i, hour - lag(hour) OVER (PARTITION BY event_type ORDER BY hour) AS dt FROM h),
+        f AS (SELECT event_type, min(i) AS i FROM o WHERE z IS NOT NULL GROUP BY 1),
+        k AS (SELECT o.event_type, o.i, o.hour, o.z AS x, CAST(0 AS DOUBLE) AS v, CAST(1000 - 1000 * 1000 / 1010.0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(1000 AS DOUBLE) AS c FROM o JOIN f ON o.event_type = f.event_type AND o.i = f.i
+          UNION ALL SELECT event_type, i, hour, CASE WHEN z IS NULL THEN px ELSE px + pa / (pa + 10) * (z - px) END, CASE WHEN z IS NULL THEN v ELSE v + pb / (pa + 10) * (z - px) END,
+            CASE WHEN z IS NULL THEN pa ELSE pa - pa / (pa + 10) * pa END, CASE WHEN z IS NULL THEN pb ELSE pb - pa / (pa + 10) * pb END, CASE WHEN z IS NULL THEN pc ELSE pc - pb / (pa + 10) * pb END
+          FROM (SELECT o.event_type, o.i, o.hour, o.z, k.v, k.x + k.v * dt AS px, k.a + 2 * k.b * dt + k.c * dt * dt + dt * dt * dt * dt / 4 AS pa, k.b + k.c * dt + dt * dt * dt / 2 AS pb, k.c + dt * dt AS pc FROM k JOIN o ON o.event_type = k.event_type AND o.i = k.i + 1) p)
+        SELECT o.event_type, o.hour, round(k.x, 5) AS value_estimate FROM o LEFT JOIN k ON o.event_type = k.event_type AND o.i = k.i"""
+)
 def kalman_filter(spark, d):
-    rows = table(spark, d, "events").groupBy("event_type", _hours().alias("hour")).agg(F.avg("value").alias("value"))
-    return density.kalman(rows, ["event_type"], "hour", ["value"])
+    """With gaps, the first hours of a series among them."""
+    rows = _hourly(spark, d).withColumn("value", F.when(F.col("hour").cast("long") % 7 != 0, F.col("value")))
+    return rounded(density.kalman(rows, ["event_type"], "hour", ["value"]), 5)
 
 
-@query()
-def gaussian_mixture(spark, d):
-    return density.mixture(table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], 3)
+@query("SELECT c_custkey, round(-0.5 * (ln(2 * pi()) + ln(v)) - (c_acctbal - mu) * (c_acctbal - mu) / v / 2, 6) AS log_density FROM customer, (SELECT avg(c_acctbal) AS mu, var_samp(c_acctbal) AS v FROM customer) q")
+def normal_log_density(spark, d):
+    return rounded(density.linear_gaussian_log_density(table(spark, d, "customer"), ["c_acctbal"], "log_density").select("c_custkey", "log_density"))
 
 
-@query()
+_CONTEXTS = """WITH n AS (SELECT count(*) AS n FROM orders), c AS (SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS m FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority))),
+    d AS (SELECT s, p, CASE WHEN p IS NULL THEN 'o_orderstatus=' || s WHEN s IS NULL THEN 'o_orderpriority=' || p ELSE 'o_orderstatus=' || s || ' and o_orderpriority=' || p END AS context FROM c, n WHERE m >= 0.1 * n),
+    r AS (SELECT d.context, o_orderkey, o_totalprice AS x FROM orders JOIN d ON (d.s IS NULL OR d.s = o_orderstatus) AND (d.p IS NULL OR d.p = o_orderpriority)),
+    m AS (SELECT context, median(x) AS md FROM r GROUP BY 1), a AS (SELECT r.context, median(abs(x - md)) AS mad FROM r JOIN m ON r.context = m.context GROUP BY 1)
+    SELECT o_orderkey, r.context, round(abs(x - md) / mad, 6) AS score FROM r JOIN m ON r.context = m.context JOIN a ON r.context = a.context WHERE abs(x - md) / mad > 1.9"""
+
+
+@query(_CONTEXTS)
 def contextual_outliers(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    return contextual.contextual_outliers(rows, "o_totalprice", ["o_orderstatus", "o_orderpriority"], density=0.1, threshold=1.9)
+    out = contextual.contextual_outliers(rows, "o_totalprice", ["o_orderstatus", "o_orderpriority"], density=0.1, threshold=1.9)
+    return rounded(out.select("o_orderkey", "context", "score"))
+
+
+@query(
+    """WITH m AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n FROM orders), b AS (SELECT CAST(least(4, floor((o_totalprice - lo) / ((hi - lo) / 5))) AS BIGINT) AS bin, o_orderstatus AS s FROM orders, m),
+       c AS (SELECT s, bin, count(*) AS k FROM b GROUP BY GROUPING SETS ((s), (bin), (s, bin)))
+       SELECT s, bin, k AS n FROM c, m WHERE k >= 0.15 * n"""
+)
+def dense_contexts(spark, d):
+    """Values and fifths of a range that hold a share of the rows, alone and together."""
+    found = contextual.dense_contexts(table(spark, d, "orders"), ["o_orderstatus"], ["o_totalprice"], 0.15, 5)
+    low, high = table(spark, d, "orders").agg(F.min("o_totalprice"), F.max("o_totalprice")).first()
+    rows = []
+    for context, n in found:
+        by = {i.dimension: i for i in context}
+        status, price = by.get("o_orderstatus"), by.get("o_totalprice")
+        rows.append((status and status.value, price and round((price.low - low) / ((high - low) / 5)), n))
+    return spark.createDataFrame(rows, "s string, bin long, n long")
 
 
 # Windows.
@@ -209,31 +347,122 @@ def heavy_hitters(spark, d):
     return damped.top_items(table(spark, d, "events"), "user_id", 20)
 
 
-@query("SELECT least(1000, count(*)) AS n FROM events")
+@query("SELECT event_id, value FROM events WHERE value > 150")
 def weighted_reservoir(spark, d):
-    sample = damped.weighted_sample(table(spark, d, "events"), 1000, F.abs("value") + 0.01)
-    return sample.agg(F.count("*").alias("n"))
+    """As many rows as have a large weight; next to it the others' weight is nothing."""
+    rows = table(spark, d, "events")
+    heavy = F.col("value") > 150
+    sample = damped.weighted_sample(rows, rows.where(heavy).count(), F.when(heavy, 1e6).otherwise(1e-6))
+    return sample.select("event_id", "value")
+
+
+_SPAN = f"(SELECT min(us) AS first_us, max(us) AS last_us FROM {_E} z)"
+_PANES = f"SELECT e.*, CAST(user_id % 5 AS VARCHAR) AS bucket, CASE WHEN event_id % 11 <> 0 THEN event_type END AS kind, value > 150 AS o, CAST(least(3, floor((us - first_us) * 4.0 / (last_us - first_us))) AS INTEGER) AS pane FROM {_E} e, {_SPAN} span"
 
 
 def _batches(spark, d, n=4):
-    rows = _event_rows(spark, d)
-    return [rows.where(F.pmod("event_id", F.lit(n)) == i) for i in range(n)]
+    """The events in ``n`` equal stretches of time; some have no kind."""
+    rows = _event_rows(spark, d).withColumn("us", _micros()).withColumn("kind", F.when(F.col("event_id") % 11 != 0, F.col("event_type")))
+    first, last = rows.agg(F.min("us"), F.max("us")).first()
+    pane = F.least(F.lit(n - 1), F.floor((F.col("us") - first) * float(n) / (last - first)))
+    return [rows.where(pane == i).drop("us") for i in range(n)]
 
 
-def _as_frame(spark, found):
-    rows = [(x["items"], float(x["records"]), float(x["support"]), float(x["ratio"])) for x in found]
-    return spark.createDataFrame(rows, "items map<string,string>, records double, support double, ratio double")
+def _as_frame(spark, found, attributes=("kind", "bucket")):
+    """An absent attribute is null, a null value the text NULL."""
+    shown = lambda x, a: None if a not in x["items"] else "NULL" if x["items"][a] is None else x["items"][a]
+    rows = [(*(shown(x, a) for a in attributes), float(x["records"]), float(x["support"]), float(x["ratio"])) for x in found]
+    return rounded(spark.createDataFrame(rows, ", ".join(f"{a} string" for a in attributes) + ", records double, support double, ratio double"))
 
 
-@query()
+def _sets_sql(rows: str) -> str:
+    """o and i (inliers) of each value and pair of kind and bucket; a null value is the text NULL."""
+    return f"c AS (SELECT kind, bucket, sum(w * CAST(o AS INTEGER)) AS o, sum(w * CAST(NOT o AS INTEGER)) AS i, 2 - grouping(kind) - grouping(bucket) AS k FROM (SELECT coalesce(kind, 'NULL') AS kind, bucket, o, w FROM ({rows}) x) y GROUP BY GROUPING SETS ((), (kind), (bucket), (kind, bucket))), t AS (SELECT o AS o_all, i AS i_all FROM c WHERE k = 0)"
+
+
+@query(
+    f"""WITH p AS ({_PANES}), {_sets_sql("SELECT *, 1.0 AS w FROM p WHERE pane > 0")},
+        r AS (SELECT c.*, t.*, CASE WHEN o_all - o + i_all - i = 0 THEN 0 WHEN o_all - o = 0 THEN 'Infinity'::DOUBLE ELSE (o / (o + i)) / ((o_all - o) / (o_all + i_all - o - i)) END AS ratio FROM c, t WHERE k > 0)
+        SELECT kind, bucket, CAST(o AS DOUBLE) AS records, round(o / o_all, 6) AS support, round(ratio, 6) AS ratio FROM r WHERE k = 1 AND o / o_all >= 0.02 AND ratio >= 0.5"""
+)
 def stream_incremental(spark, d):
-    explainer = IncrementalExplainer(["event_type", "bucket"], "outlier", panes=3, min_support=0.05, min_ratio=1.0)
+    """The last three of four panes; single values are all tracked from the first."""
+    explainer = IncrementalExplainer(["kind", "bucket"], "outlier", panes=3, min_support=0.02, min_ratio=0.5, max_order=1)
     for batch in _batches(spark, d):
         explainer.process(batch)
     return _as_frame(spark, explainer.results())
 
 
+@query(
+    f"""WITH p AS ({_PANES}), {_sets_sql("SELECT *, pow(0.99, 3 - pane) AS w FROM p")},
+        r AS (SELECT c.*, t.*, (o / (o + i)) / ((o_all - o) / (o_all + i_all - o - i)) - 2 * sqrt(i / o / (o + i) + 1 / (o_all + i_all - o - i)) AS ratio FROM c, t WHERE k > 0 AND o > 0)
+        SELECT kind, bucket, round(o, 6) AS records, round(o / o_all, 6) AS support, round(ratio, 6) AS ratio FROM r WHERE o >= 0.001 * o_all AND ratio >= 0.5"""
+)
+def stream_damped_itemsets(spark, d):
+    """Damped counts are those of a full recount with weights."""
+    summary = damped.DampedItemsets(["kind", "bucket"], "outlier", min_support=0.001, min_ratio=0.5)
+    for batch in _batches(spark, d):
+        summary.consume(batch)
+    return _as_frame(spark, summary.results())
+
+
+@query(
+    f"""WITH p AS ({_PANES}), m AS (SELECT median(value) AS c FROM p), s AS (SELECT median(abs(value - c)) AS mad FROM p, m)
+        SELECT event_id, round(abs(value - c) / (mad * 1.4826), 6) AS score FROM p, m, s WHERE pane = 3"""
+)
+def stream_damped_scores(spark, d):
+    """A reservoir that holds all rows: the last pane by the median and deviation of all."""
+    scorer = damped.DampedScorer(["value"], capacity=1_000_000)
+    *_, last = [scorer.score(batch, "score") for batch in _batches(spark, d)]
+    return rounded(last.select("event_id", "score"))
+
+
+@query(f"WITH p AS ({_PANES}), q AS (SELECT quantile_cont(value, 0.98) AS cut FROM p) SELECT event_id, CASE WHEN value >= cut THEN 1.0 ELSE 0.0 END AS hit FROM p, q WHERE pane = 3")
+def stream_damped_threshold(spark, d):
+    threshold = damped.DampedThreshold(0.98, capacity=1_000_000)
+    *_, last = [threshold.classify(batch, "value", "hit") for batch in _batches(spark, d)]
+    return last.select("event_id", "hit")
+
+
 @query()
 def stream_damped(spark, d):
-    found = damped.one_shot(_batches(spark, d), ["value"], ["event_type", "bucket"], 0.9, min_ratio=0.5, min_support=0.01)
+    found = damped.one_shot(_batches(spark, d), ["value"], ["kind", "bucket"], 0.9, min_ratio=0.5, min_support=0.01)
     return _as_frame(spark, found)
+
+
+@query("SELECT user_id AS item, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1")
+def stream_space_saving(spark, d):
+    """With room for all items the counts are exact."""
+    counter = damped.SpaceSaving(100_000)
+    for batch in _batches(spark, d):
+        counter.add_all({r["user_id"]: float(r["count"]) for r in batch.groupBy("user_id").count().collect()})
+    return spark.createDataFrame([(int(k), float(v)) for k, v in counter.counts.items()], "item long, n double")
+
+
+@query(f"WITH p AS ({_PANES}) SELECT user_id AS item, round(sum(pow(0.5, 4 - pane)), 6) AS n FROM p GROUP BY 1")
+def stream_maintained_counter(spark, d):
+    counter = damped.MaintainedCounter(100_000)
+    for batch in _batches(spark, d):
+        counter.add_all({r["user_id"]: float(r["count"]) for r in batch.groupBy("user_id").count().collect()})
+        counter.end_epoch(0.5)
+    return rounded(spark.createDataFrame([(int(k), float(v)) for k, v in counter.counts.items()], "item long, n double"))
+
+
+_CLOSED = f"""WITH b AS ({_EVENTS}), z AS (SELECT max(epoch_us(ts)) - 1000000 AS mark FROM events),
+    c AS (SELECT w, event_type, bucket, sum(o) AS o, CAST(count(*) AS DOUBLE) AS t, 2 - grouping(event_type) - grouping(bucket) AS k FROM b GROUP BY GROUPING SETS ((w), (w, event_type), (w, bucket), (w, event_type, bucket))),
+    j AS (SELECT c.*, a.o AS o_all, a.t AS t_all FROM c JOIN c a ON c.w = a.w AND a.k = 0, z WHERE c.k > 0 AND c.w + {_PANE} <= mark),
+    r AS (SELECT *, CASE WHEN t_all - t = 0 THEN 0 WHEN o_all - o = 0 THEN 'Infinity'::DOUBLE ELSE (o / t) / ((o_all - o) / (t_all - t)) END AS rr FROM j WHERE o_all > 0)
+    SELECT make_timestamp(CAST(w AS BIGINT)) AS window_start, event_type, bucket, CAST(k AS INTEGER) AS "order", o AS outliers, t AS "count", round(o / o_all, 6) AS support, round(rr, 6) AS risk_ratio FROM r WHERE o / o_all >= 0.05 AND rr >= 1.1"""
+
+
+@query(_CLOSED)
+def stream_windowed_explain(spark, d):
+    """A Structured Streaming query over the events; the days that its watermark has closed."""
+    source = table(spark, d, "events")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("bucket", (F.col("user_id") % 5).cast("string")).withColumn("outlier", (F.col("value") > 150).cast("double"))
+    folder = shared_folder(spark)
+    sink = lambda df, i: df.write.mode("append").parquet(f"{folder}/out")
+    run = windows.explain_stream(rows, "ts", "1 day", "1 day", "1 second", ["event_type", "bucket"], "outlier", sink, f"{folder}/state", 0.05, 1.1, available_now=True)
+    run.awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))

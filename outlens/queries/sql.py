@@ -71,9 +71,9 @@ def frame_filter_project(spark, d):
     return project(filter_rows(table(spark, d, "part"), "p_size", lambda x: x > 40), ["p_partkey", "p_size", "nothing"])
 
 
-@query("SELECT count(*) AS n FROM (SELECT * FROM part WHERE p_brand = 'Brand#11' LIMIT 7) q")
+@query("SELECT p_partkey, p_size FROM part WHERE p_brand = 'Brand#11' ORDER BY p_partkey LIMIT 7")
 def source_preview(spark, d):
-    return preview(table(spark, d, "part"), {"p_brand": "Brand#11"}, 7).agg(F.count("*").alias("n"))
+    return preview(table(spark, d, "part").orderBy("p_partkey"), {"p_brand": "Brand#11"}, 7).select("p_partkey", "p_size")
 
 
 @query("SELECT 'o_orderstatus' AS attribute, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2")
@@ -89,7 +89,7 @@ def group_transform(spark, d):
     return by_group(table(spark, d, "orders").select("o_orderstatus", "o_totalprice"), ["o_orderstatus"], spread, "o_orderstatus string, spread double")
 
 
-def _shared_folder(spark) -> str:
+def shared_folder(spark) -> str:
     """A new folder that the executors share."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     return f"{shared.rstrip('/')}/files-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="files-")
@@ -97,14 +97,14 @@ def _shared_folder(spark) -> str:
 
 @query("SELECT CAST(r_regionkey AS DOUBLE) AS r_regionkey, r_name FROM region")
 def csv_roundtrip(spark, d):
-    path = f"{_shared_folder(spark)}/region"
+    path = f"{shared_folder(spark)}/region"
     write_csv(table(spark, d, "region"), path)
     return read_csv(spark, path, {"r_regionkey": "double", "r_name": "string"})
 
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
 def source_cached(spark, d):
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark)
     load = lambda: table(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey", "s_acctbal")
     cached(spark, folder, {"table": "supplier", "of": d}, load)
     return cached(spark, folder, {"table": "supplier", "of": d}, load)
