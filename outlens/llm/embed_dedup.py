@@ -233,6 +233,30 @@ def _with_cores(classes: DataFrame, half: float) -> DataFrame:
     )
 
 
+def shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of cells with a home and another core, of rows (bucket, name) sorted by bucket, homes first.
+
+    Cells of any size pass through; of an unfinished cell only the first entry is kept for the next batch. A core's
+    probe of its own home's cell may be missing.
+    """
+    bucket, name, sent = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    for b in batches:
+        bucket, name = np.append(bucket, b.column(0).to_numpy()), np.append(name, b.column(1).to_numpy())
+        sent = np.append(sent, np.zeros(len(b), bool))
+        if not len(bucket):
+            continue
+        begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        run = np.cumsum(np.append(False, bucket[1:] != bucket[:-1]))
+        first = name[begins]
+        other = np.logical_or.reduceat((name | 1) != (first[run] | 1), begins)
+        alive = ((first & 1) == 1) & other | sent[begins]
+        again = np.append(False, (bucket[1:] == bucket[:-1]) & (name[1:] == name[:-1]))
+        keep = alive[run] & ~sent & ~again
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(name[keep])], names=["bucket", "name"])
+        last = begins[-1:]
+        bucket, name, sent = bucket[last], name[last], alive[-1:]
+
+
 def _candidates(members: DataFrame, cores: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a, b) of cores that meet in a cell of some table and whose sketches are alike.
 
@@ -257,10 +281,9 @@ def _candidates(members: DataFrame, cores: DataFrame, threshold: float) -> DataF
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns[:3]), out], names=["name", "core", "radius", "sketch"])
 
     name = F.xxhash64("core").bitwiseAND(F.lit(-2).cast("long"))
-    filed = members.select(name.alias("name"), "label", "embedding").mapInArrow(run, "bucket long, name long").repartition("bucket")
-    # Most cells hold one core. The exchange above serves both the counts and the join.
-    met = filed.groupBy("bucket").agg(F.max(F.col("name") % 2 != 0).alias("home"), F.min(F.col("name").bitwiseAND(F.lit(-2).cast("long"))).alias("lo"), F.max(F.col("name").bitwiseAND(F.lit(-2).cast("long"))).alias("hi"))
-    live = checkpointed(filed.join(met.where(F.col("home") & (F.col("lo") != F.col("hi"))).select("bucket"), "bucket", "left_semi").distinct())
+    filed = members.select(name.alias("name"), "label", "embedding").mapInArrow(run, "bucket long, name long")
+    # Homes come first in their cell. Most cells hold one core, and go.
+    live = checkpointed(filed.repartition("bucket").sortWithinPartitions("bucket", F.desc(F.col("name").bitwiseAND(F.lit(1).cast("long"))), "name").mapInArrow(shared_cells, "bucket long, name long"))
     entries = live.select("bucket", (F.col("name") % 2 != 0).alias("home"), F.col("name").bitwiseAND(F.lit(-2).cast("long")).alias("name"))
     named = cores.withColumn("name", name).join(entries.select("name").distinct(), "name", "left_semi").select("name", "core", "radius", "at")
     sketched = checkpointed(named.mapInArrow(sketch, "name long, core binary, radius double, sketch array<long>"))

@@ -81,6 +81,24 @@ def test_recall_at_the_threshold(spark):
     assert sum(got.values()) >= 0.99 * sum(want.values()) and all(got[k] <= want[k] for k in got)
 
 
+def test_shared_cells_in_batches_of_any_size():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    rows = sorted({(int(b), int(n)) for b, n in zip(r.integers(0, 60, 300), r.integers(0, 12, 300), strict=True)}, key=lambda x: (x[0], -(x[1] & 1), x[1]))
+    rows += [(99, 1)] * 5 + [(100, 4)] * 3 + [(101, 1), *[(101, 2 * k) for k in range(1, 40)]]
+    of = {}
+    for b, n in rows:
+        of.setdefault(b, []).append(n)
+    want = {(b, n) for b, ns in of.items() if any(x & 1 for x in ns) and len({x | 1 for x in ns}) > 1 for n in ns}
+    for size in (1, 2, 7, len(rows)):
+        cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in c], pa.int64()) for k in (0, 1)], names=["bucket", "name"]) for c in cut]
+        got = [x for b in e.shared_cells(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        # A core's probe of its own home's cell adds nothing.
+        assert {(b, n) for b, n in want if n & 1 or n | 1 not in of[b]} <= set(got) <= want and len(got) <= len(want) + len(cut)
+
+
 def test_looser_groups_cost_few_pairs(spark):
     """A topic whose vectors are all at cosine 0.85: no pair is a link, and few pairs are verified."""
     r = np.random.default_rng(9)
