@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,7 +70,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
-    return shard(table(spark, sf_dir, "documents"), shards=40)
+    return shard(table(spark, sf_dir, "documents"), shards=SHARDS)
 
 
 def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +81,15 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lattice_embeddings, op2_segmented_urls, op3_bitmask_language, op4_sampled_pieces, op5_deobfuscated_pii, op6_risk_controlled_quality, op7_prob_minhash_dedup, op8_token_counts, op9_feistel_shards, op10_hierarchical_packing)}
 
-ORACLES: dict[str, str] = {}
+SHARDS = 40
+
+#: The others' models, tokenizers and transducers have no form in SQL.
+ORACLES: dict[str, str] = {
+    name: " ".join(sql.split())
+    for name, sql in (
+        ("op1_lattice_embeddings", oracles.embeddings_sql()),
+        ("op6_risk_controlled_quality", oracles.quality_sql()),
+        ("op7_prob_minhash_dedup", oracles.near_copies_sql()),
+        ("op9_feistel_shards", oracles.shards_sql(SHARDS)),
+    )
+}

@@ -28,6 +28,10 @@ ROUNDS = 6
 ROW_OVERHEAD = 16
 
 
+def round_keys(seed: int, rounds: int = ROUNDS) -> np.ndarray:
+    return mix64(np.arange(1, rounds + 1, dtype=np.uint64) + np.array([seed], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def permute(rows: np.ndarray, n: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
     """The permuted position in [0, n) of each row number in [0, n).
 
@@ -38,7 +42,7 @@ def permute(rows: np.ndarray, n: int, seed: int, rounds: int = ROUNDS) -> np.nda
         return np.zeros_like(rows, dtype=np.int64)
     a = math.isqrt(n - 1) + 1
     b = -(-n // a)
-    keys = mix64(np.arange(1, rounds + 1, dtype=np.uint64) + np.array([seed], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    keys = round_keys(seed, rounds)
     out = np.asarray(rows, dtype=np.int64).copy()
     todo = np.arange(len(out))
     while len(todo):
