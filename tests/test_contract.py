@@ -12,6 +12,10 @@ from outlens.queries import all_oracles, all_queries
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Seeded or iterative: no SQL says the same.
+WITHOUT_SQL = {"score_min_cov_det", "gaussian_mixture", "stream_damped"}
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
@@ -34,7 +38,8 @@ def test_query(spark, sf, duck, name):
     rows = df.collect()
     sql = all_oracles().get(name)
     if not sql:
-        assert df.columns
+        # Held against planted rows and closed forms in test_operators and test_streaming.
+        assert name in WITHOUT_SQL and len(rows) > 0 and df.columns
         return
     found = duck.execute(sql)
     names = [c[0] for c in found.description]

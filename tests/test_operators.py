@@ -1,3 +1,4 @@
+import itertools
 import json
 import math
 import random
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from outlens.functions import stats
 from outlens.operators import classify as c
-from outlens.operators import contextual, density, render, scoring
+from outlens.operators import contextual, density, fpgrowth, render, scoring
 from outlens.operators import summarize as s
+from outlens.operators.diff import diff
 from outlens.operators.fpgrowth import emerging_itemsets, pruned, without_repeats
 from outlens.plans.cli import server
 from outlens.plans.pipelines import Config, pipeline, simple_yaml
@@ -251,3 +253,76 @@ def test_pipelines_and_service(spark, tmp_path):
 def test_json():
     text = render.as_json([{"matcher": {"a": "x"}, "metric": {}, "aggregate": {}}], 2.0, 1.0)
     assert json.loads(text) == {"results": [{"matcher": {"a": "x"}, "metric": {}, "aggregate": {}}], "numTotal": 2.0, "outliers": 1.0}
+
+
+def test_order_statistics_share_brackets(spark, monkeypatch):
+    r = random.Random(3)
+    values = [float(r.randrange(50)) if r.random() < 0.5 else r.uniform(-10, 60) for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ranks = [1, 2, 40, 1999, 2000, 2001, 3999, 4000]
+    for bracket in (100_000, 500, 7):
+        monkeypatch.setattr(stats, "BRACKET", bracket)
+        assert stats.order_statistics(df, ranks, len(values)) == {k: sorted(values)[k - 1] for k in ranks}
+
+
+def test_null_metrics(spark):
+    df = spark.createDataFrame([(float(i),) if i % 4 else (None,) for i in range(41)] + [(float("nan"),)], "x double")
+    out = scoring.winsorize(df, ["x"], 10.0).collect()
+    assert sum(r.x is None for r in out) == 11 and sum(r.x is not None and math.isnan(r.x) for r in out) == 1
+    low = scoring.low_metric(df, ["x"]).collect()
+    assert sum(r.x is None for r in low) == 11
+    mean, cov = scoring.covariance(df.withColumn("y", F.lit(1.0)), ["x", "y"])
+    held = [i for i in range(41) if i % 4]
+    assert mean[0] == pytest.approx(sum(held) / len(held)) and not math.isnan(cov[0, 0])
+    assert density.bayesian_normal_score(df.limit(0), "x").count() == 0
+    rows = [("a", float(t), None if t < 2 or t == 5 else float(t)) for t in range(9)]
+    got = [r.v_estimate for r in density.kalman(spark.createDataFrame(rows, "k string, t double, v double"), ["k"], "t", ["v"]).orderBy("t").collect()]
+    assert got[:2] == [None, None] and all(abs(g - t) < 1.5 for t, g in enumerate(got) if t > 1)
+
+
+def test_wide_diff_by_brute_force(spark):
+    """Five attributes: triples are formed only where all pairs may grow, and nothing is lost by it."""
+    r = random.Random(12)
+    rows = []
+    for _ in range(1500):
+        v = [r.randrange(3), r.randrange(3), r.randrange(4), r.randrange(30), r.choice([0, 1, None])]
+        rows.append((*[None if x is None else str(x) for x in v], float(r.random() < (0.6 if v[:3] == [1, 1, 2] else 0.1))))
+    names = ["a", "b", "c", "d", "e"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", outlier_col double")
+    found = diff(df, names, min_support=0.03, min_ratio=1.6, with_present=True).collect()
+    got = {tuple((n, x[n]) for n in x.present): (x.outlier_count, x.total_count) for x in found}
+    total, outliers = len(rows), sum(x[-1] for x in rows)
+
+    def counts(items):
+        here = [x for x in rows if all(x[names.index(n)] == v for n, v in items)]
+        return sum(x[-1] for x in here), float(len(here))
+
+    grown, want = [{()}], {}
+    for order in (1, 2, 3):
+        grow = set()
+        for at in itertools.combinations(names, order):
+            for items in {tuple((n, x[names.index(n)]) for n in at) for x in rows}:
+                if all(tuple(i for i in items if i != gone) in grown[-1] for gone in items):
+                    o, n = counts(items)
+                    if o / outliers >= 0.03:
+                        if o / n / (outliers / total) >= 1.6:
+                            want[items] = (o, n)
+                        else:
+                            grow.add(items)
+        grown.append(grow)
+    assert got == want and any(len(k) == 3 for k in want)
+
+
+@pytest.mark.parametrize("cube", [10, 1])
+def test_itemsets_meet_inliers(spark, monkeypatch, cube):
+    """The mined sets beyond the cube have the cube's counts."""
+    monkeypatch.setattr(fpgrowth, "CUBE_ATTRIBUTES", cube)
+    r = random.Random(4)
+    rows = [(r.choice("xy"), r.choice("pq"), r.choice("mn")) for _ in range(300)]
+    df = spark.createDataFrame([(*x, float(x[0] == "x" and r.random() < 0.7 or r.random() < 0.1)) for x in rows], "a string, b string, c string, _OUTLIER double")
+    marked = [(dict(zip("abc", x[:3], strict=True)), x[3]) for x in df.collect()]
+    for x in fpgrowth.emerging_itemsets(df, ["a", "b", "c"], min_support=0.1, min_ratio=1.0).collect():
+        held = [o for items, o in marked if all(items[k] == v for k, v in x["items"].items())]
+        assert x.records == sum(held)
+        rest_out, rest = sum(o for _, o in marked) - sum(held), len(marked) - len(held)
+        assert x.ratio == pytest.approx((sum(held) / len(held)) / (rest_out / rest))

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -97,5 +98,67 @@ def test_samples_and_counters(spark):
     assert len(calls) == 2
 
 
+def brute_counts(batches, attributes, order, decay=0.0):
+    """(outliers, inliers) of every attribute set, with earlier batches decayed; nulls are values."""
+    out = {}
+    for k, batch in enumerate(batches):
+        weight = (1 - decay) ** (len(batches) - 1 - k)
+        for row in batch:
+            for size in range(1, order + 1):
+                for names in combinations(attributes, size):
+                    pair = out.setdefault(tuple((a, row[a]) for a in names), [0.0, 0.0])
+                    pair[0 if row["outlier"] > 0 else 1] += weight
+    return out
+
+
+def streamed_rows(seed, n):
+    r = random.Random(seed)
+    rows = [(r.choice(["x", "y", None]), r.choice(["p", "q", "r", None]), float(r.random() < 0.3)) for _ in range(n)]
+    return [dict(zip(("a", "b", "outlier"), row, strict=True)) for row in rows]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(x["a"], x["b"], x["outlier"]) for x in rows], "a string, b string, outlier double")
+
+
+def test_damped_itemsets_are_a_recount(spark):
+    batches = [streamed_rows(i, 200) for i in range(3)]
+    summary = damped.DampedItemsets(["a", "b"], "outlier", decay=0.1, min_support=0.001, min_ratio=-10.0)
+    for rows in batches:
+        summary.consume(frame(spark, rows))
+    want = brute_counts(batches, ["a", "b"], 2, 0.1)
+    got = {tuple(x["items"].items()): x["records"] for x in summary.results()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k][0]) < 1e-9 for k in got)
+    by_key = {tuple(windows.items_of(k, ["a", "b"], 3).items()): v for k, v in summary.counts.items()}
+    assert all(abs(by_key[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_tracked_sets_count_without_outliers(spark):
+    summary = damped.DampedItemsets(["a", "b"], "outlier", decay=0.0)
+    one = [{"a": "x", "b": "p", "outlier": 1.0}] * 10 + [{"a": "x", "b": "p", "outlier": 0.0}] * 5
+    two = [{"a": "x", "b": "p", "outlier": 0.0}] * 1000
+    for rows in (one, two):
+        summary.consume(frame(spark, rows))
+    assert sorted(summary.counts.values()) == [[10.0, 1005.0]] * 3
+
+
+def test_incremental_sets_are_a_recount_with_nulls(spark):
+    batches = [streamed_rows(10 + i, 300) for i in range(4)]
+    e = IncrementalExplainer(["a", "b"], "outlier", panes=3, min_support=0.001, min_ratio=0.0, max_order=2)
+    e.min_support = 0.02
+    for rows in batches:
+        e.process(frame(spark, rows))
+    want = brute_counts(batches[1:], ["a", "b"], 2)
+    got = {tuple(x["items"].items()): x["records"] for x in e.results()}
+    assert got.keys() == want.keys() and all(got[k] == want[k][0] for k in got)
+
+
+def test_windowed_null_values_are_not_merged(spark):
+    rows = [("x", None, 1.0)] * 3 + [(None, "p", 1.0)] * 2
+    df = spark.createDataFrame(rows, "a string, b string, o double").withColumn("t", F.timestamp_seconds(F.lit(0)))
+    counts = windows.windowed_counts(df, "t", "1 day", "1 day", ["a", "b"], "o").where("order = 1").collect()
+    assert sorted((r.a or "", r.b or "", r["count"]) for r in counts) == [("", "", 2.0), ("", "", 3.0), ("", "p", 2.0), ("x", "", 3.0)]
+
+
 def test_split_marks(spark):
     assert split(spark.range(4), F.col("id") > 1).agg(F.sum("outlier_col")).first()[0] == 2.0
