@@ -9,7 +9,8 @@ alone.
 
 Defined results: a null text has no bytes (size 16, checksum 0); a null doc_id
 sorts first; rows that agree in all three keys are interchangeable and get
-neighbouring numbers; an empty table gives no rows; further columns are ignored.
+neighbouring numbers; texts may be of any length, as only their size and checksum
+travel; an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

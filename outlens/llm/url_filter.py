@@ -16,8 +16,9 @@ a join: the parameter moves work between the two and changes no result.
 
 Defined results: a null url or one without ``://`` has an empty host and path; it fits
 no rule and has no token, so the prior decides; if a class was never seen (or no url
-has a rule) the verdict is ``allow``; equal scores allow; repeated rows are judged alike;
-an empty table gives no rows; further columns are ignored.
+has a rule) the verdict is ``allow``; equal scores allow; rules are told apart by host and path, the longest
+first; repeated rows are judged alike; urls and texts may be of any length; an empty table gives no rows; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 FEATURES = 100_000
-LONGEST_WORD = 24
+#: A host label has at most 63 characters, so a longer word can be part of none.
+LONGEST_WORD = 63
 #: Words of up to ``SHORT`` letters lie in many names: their join is dealt over ``SALTS`` keys each.
 SHORT = 4
 SALTS = 16
