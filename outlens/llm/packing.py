@@ -15,8 +15,9 @@ Each partition packs its own rows in one streaming pass: no shuffle, memory
 bounded by one pool plus one document, and a lost task repeats alone with the same
 result. Sequence ids are ``partition << 33 | local number``.
 
-Defined results: a null or empty text is the one token [1]; repeated rows are
-packed once each; an empty table gives no rows; further columns are ignored.
+Defined results: a null or empty text is the one token [1]; texts may be of any length; repeated rows are
+packed once each, and remainders of equal length in the order of the rows; an empty table gives no rows; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ class WordIds:
     Texts are cut at ASCII blanks, and between a Latin-1 letter and a closing mark,
     where the tokenizer always parts; each distinct unit is encoded once and kept.
     New units of plain letters go to the library together, parted by blanks: each
-    ends with a token that closes a word. Any other unit goes to it alone.
+    ends with a token that closes a word. Any other unit goes to it alone. That the tokenizer
+    parts so is verified when it is loaded.
     """
 
     def __init__(self, path: str):
@@ -67,8 +69,20 @@ class WordIds:
         vocab = self.tok.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._verify()
         self.clear()
 
+    def _verify(self) -> None:
+        """Probes of what ``batch`` and ``_add`` rely on; another kind of tokenizer is refused."""
+        ids = lambda text: self.tok.encode(text, add_special_tokens=False).ids
+        words = ["a", "the", "Straße", "Élan", "über", "zzqxj", "naïveté", "x" * 300]
+        mixed = ["don't", "3.14", "a1b2", "#tag", "é́", "中文", "🙂", "x.y,z", "--", "<eos>", "a_b"]
+        closed = all(sum(self.closes[ids(w)]) == 1 and self.closes[ids(w)[-1]] for w in words)
+        parted = all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for a in words + mixed for b in words + mixed for gap in (" ", "\n", " \t "))
+        marked = all(ids(f"{w}{mark}{w}") == ids(f"{w} {mark}{w}") for w in words for mark in ".,;:!?")
+        if not (closed and parted and marked and not ids("") and not ids(" \t\n")):
+            raise ValueError("this tokenizer does not part words at blanks and closing marks")
+
     def clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.flat = np.zeros(1 << 16, np.uint32)

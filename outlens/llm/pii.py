@@ -8,8 +8,9 @@ stands for. Identifiers found in the rewritten text are mapped back to source
 characters, and are added where they overlap no base span of their kind.
 
 Spans are kind:start:end in code points, end exclusive. Defined results: a null
-text is empty; repeated rows give the same spans; an empty table gives no rows;
-further columns are ignored. Each row costs time linear in its length.
+text is empty; repeated rows give the same spans; of matches that begin together the first alternative counts;
+an empty table gives no rows; further columns, whatever their names, are ignored by ``find`` and returned as they
+are by ``redact``. Each row costs time linear in its length.
 """
 
 from __future__ import annotations
