@@ -383,11 +383,11 @@ def _sets_sql(rows: str) -> str:
 @query(
     f"""WITH p AS ({_PANES}), {_sets_sql("SELECT *, 1.0 AS w FROM p WHERE pane > 0")},
         r AS (SELECT c.*, t.*, CASE WHEN o_all - o + i_all - i = 0 THEN 0 WHEN o_all - o = 0 THEN 'Infinity'::DOUBLE ELSE (o / (o + i)) / ((o_all - o) / (o_all + i_all - o - i)) END AS ratio FROM c, t WHERE k > 0)
-        SELECT kind, bucket, CAST(o AS DOUBLE) AS records, round(o / o_all, 6) AS support, round(ratio, 6) AS ratio FROM r WHERE k = 1 AND o / o_all >= 0.02 AND ratio >= 0.5"""
+        SELECT kind, bucket, CAST(o AS DOUBLE) AS records, round(o / o_all, 6) AS support, round(ratio, 6) AS ratio FROM r WHERE o > 0 AND ratio >= 0.5"""
 )
 def stream_incremental(spark, d):
-    """The last three of four panes; single values are all tracked from the first."""
-    explainer = IncrementalExplainer(["kind", "bucket"], "outlier", panes=3, min_support=0.02, min_ratio=0.5, max_order=1)
+    """The last three of four panes, all sets tracked."""
+    explainer = IncrementalExplainer(["kind", "bucket"], "outlier", panes=3, min_support=0.0, min_ratio=0.5, max_order=2)
     for batch in _batches(spark, d):
         explainer.process(batch)
     return _as_frame(spark, explainer.results())
@@ -396,11 +396,11 @@ def stream_incremental(spark, d):
 @query(
     f"""WITH p AS ({_PANES}), {_sets_sql("SELECT *, pow(0.99, 3 - pane) AS w FROM p")},
         r AS (SELECT c.*, t.*, (o / (o + i)) / ((o_all - o) / (o_all + i_all - o - i)) - 2 * sqrt(i / o / (o + i) + 1 / (o_all + i_all - o - i)) AS ratio FROM c, t WHERE k > 0 AND o > 0)
-        SELECT kind, bucket, round(o, 6) AS records, round(o / o_all, 6) AS support, round(ratio, 6) AS ratio FROM r WHERE o >= 0.001 * o_all AND ratio >= 0.5"""
+        SELECT kind, bucket, round(o, 6) AS records, round(o / o_all, 6) AS support, round(ratio, 6) AS ratio FROM r WHERE ratio >= 0.5"""
 )
 def stream_damped_itemsets(spark, d):
     """Damped counts are those of a full recount with weights."""
-    summary = damped.DampedItemsets(["kind", "bucket"], "outlier", min_support=0.001, min_ratio=0.5)
+    summary = damped.DampedItemsets(["kind", "bucket"], "outlier", min_support=0.0, min_ratio=0.5)
     for batch in _batches(spark, d):
         summary.consume(batch)
     return _as_frame(spark, summary.results())

@@ -169,8 +169,8 @@ class DampedItemsets:
     """Damped counts of attribute combinations among outliers and inliers, with a corrected risk ratio.
 
     A combination is tracked from the first micro-batch in which a share ``min_support`` of the outliers has it (at most
-    sets / min_support new ones a batch), and counted in every batch from then on, with or without outliers. A null value
-    is a value like any other.
+    sets / min_support new ones a batch), and counted in every batch from then on, with or without outliers; without a
+    least support every combination is. A null value is a value like any other.
     """
 
     def __init__(self, attributes: Sequence[str], outlier: str = "_OUTLIER", decay: float = 0.01, min_support: float = 0.001, min_ratio: float = 3.0, max_order: int = 3):
@@ -180,7 +180,7 @@ class DampedItemsets:
         self.counts: dict[tuple[int, tuple], list[float]] = {}
 
     def consume(self, batch: DataFrame) -> None:
-        out, rest, here = tracked_counts(batch, self.attributes, self.outlier, self.max_order, list(self.counts), lambda n: max(1.0, self.min_support * n))
+        out, rest, here = tracked_counts(batch, self.attributes, self.outlier, self.max_order, list(self.counts), lambda n: max(1.0, self.min_support * n) if self.min_support else 0.0)
         factor = 1 - self.decay
         self.totals = [self.totals[0] * factor + out, self.totals[1] * factor + rest]
         self.counts = {s: [o * factor, i * factor] for s, (o, i) in self.counts.items()}

@@ -3,7 +3,8 @@
 State is bounded by the support: each tracked set held a share ``min_support`` of some pane's
 outliers. Every pane costs two distributed aggregations; only tracked sets' counts reach
 the driver. Counts of a set start when its tracking does, so they approximate a full recount; for
-sets tracked since the first pane of the window they are one. A null value is a value like any other.
+sets tracked since the first pane of the window they are one. Without a least support every set is tracked, and all
+counts are a recount. A null value is a value like any other.
 """
 
 from __future__ import annotations
@@ -33,11 +34,17 @@ class IncrementalExplainer:
         self.process(pane)
 
     def process(self, pane: DataFrame) -> None:
-        least = lambda outliers: self.min_support * outliers if self.min_support * outliers >= 1 else float("inf")
+        def least(outliers: float) -> float:
+            if not self.min_support:
+                return 0.0
+            return self.min_support * outliers if self.min_support * outliers >= 1 else float("inf")
+
         outliers, inliers, here = tracked_counts(pane, self.attributes, self.outlier, self.max_order, list(self.tracked), least)
         self.totals.append((outliers, inliers))
+        # Where all sets are tracked, one that is new was in none of the panes before.
+        before = [] if self.min_support else [(0.0, 0.0)] * (len(self.totals) - 1)
         for s in {*self.tracked, *here}:
-            self.tracked.setdefault(s, deque(maxlen=self.panes)).append(here.get(s, (0.0, 0.0)))
+            self.tracked.setdefault(s, deque(before, maxlen=self.panes)).append(here.get(s, (0.0, 0.0)))
         self.tracked = {s: q for s, q in self.tracked.items() if self._supported(s)}
 
     def _since(self, s: Key) -> tuple[float, float, float, float]:
@@ -46,8 +53,8 @@ class IncrementalExplainer:
         return sum(o for o, _ in q), sum(i for _, i in q), sum(o for o, _ in totals), sum(i for _, i in totals)
 
     def _supported(self, s: Key) -> bool:
-        o, _, outliers, _ = self._since(s)
-        return o > 0 and o >= self.min_support * outliers
+        o, i, outliers, _ = self._since(s)
+        return o + i > 0 if not self.min_support else o > 0 and o >= self.min_support * outliers
 
     def results(self) -> list[dict]:
         """Tracked sets with enough support and risk ratio over the panes since they are tracked."""
@@ -55,6 +62,6 @@ class IncrementalExplainer:
         for s in self.tracked:
             o, i, outliers, inliers = self._since(s)
             r = _ratio(o, outliers, i, inliers)
-            if r >= self.min_ratio:
+            if o > 0 and r >= self.min_ratio:
                 out.append({"items": items_of(s, self.attributes, self.max_order), "records": o, "support": o / outliers, "ratio": r})
         return sorted(out, key=lambda x: (-x["ratio"], -x["records"], str(sorted(x["items"].items(), key=str))))
