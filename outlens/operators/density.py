@@ -108,35 +108,46 @@ def pane_moving_average(batches: DataFrame, order: str, total: str, count: str,
     return batches.withColumn(output, F.try_divide(F.sum(_x(total)).over(w), F.sum(_x(count)).over(w)))
 
 
-def kalman(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], process_noise: float = 1.0, measure_noise: float = 10.0) -> DataFrame:
+def kalman(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], process_noise: float = 1.0, measure_noise: float = 1.0) -> DataFrame:
     """Per series, constant-velocity Kalman estimates of each value. A series is filtered in order, as one group.
 
-    A null is no measurement: its estimate is the prediction; before the first value there is none.
+    A value is a number or a vector (an array of one length; a matrix is its rows in turn), whose entries share a
+    covariance. The first value is the start, with unit variance and no velocity. Over an interval t the process adds
+    noise g g', g = (t * t / 2, t), and a measurement has ``measure_noise`` times t * t. A null is no measurement: its
+    estimate is the prediction; before the first value there is none.
     """
     ship_code(df.sparkSession)
 
+    def filtered(t: np.ndarray, z: list) -> list:
+        state = cov = None
+        out = []
+        for i, value in enumerate(z):
+            if state is None:
+                if value is not None:
+                    state, cov = np.stack([value, np.zeros_like(value)]), np.eye(2)
+            else:
+                dt = t[i] - t[i - 1]
+                step, g = np.array([[1.0, dt], [0.0, 1.0]]), np.array([dt * dt / 2, dt])
+                state, cov = step @ state, step @ cov @ step.T + process_noise * np.outer(g, g)
+                spread = cov[0, 0] + measure_noise * dt * dt
+                if value is not None and spread > 0:
+                    gain = cov[:, 0] / spread
+                    state, cov = state + np.outer(gain, value - state[0]), cov - np.outer(gain, cov[0])
+            out.append(None if state is None else state[0].copy())
+        return out
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order).reset_index(drop=True)
-        t = rows[order].to_numpy(float)
         out = {k: [key[i]] * len(rows) for i, k in enumerate(keys)} | {order: rows[order]}
         for c in values:
-            z = rows[c].to_numpy(float)
-            seen = np.flatnonzero(~np.isnan(z))
-            first = int(seen[0]) if len(seen) else len(z)
-            state, cov, est = np.array([z[first] if len(seen) else 0.0, 0.0]), np.eye(2) * 1000.0, np.full(len(z), np.nan)
-            for i in range(first, len(z)):
-                dt = t[i] - t[i - 1] if i > first else 0.0
-                step = np.array([[1.0, dt], [0.0, 1.0]])
-                noise = process_noise * np.array([[dt**4 / 4, dt**3 / 2], [dt**3 / 2, dt**2]])
-                state, cov = step @ state, step @ cov @ step.T + noise
-                if not np.isnan(z[i]):
-                    gain = cov[:, 0] / (cov[0, 0] + measure_noise)
-                    state, cov = state + gain * (z[i] - state[0]), cov - np.outer(gain, cov[0])
-                est[i] = state[0]
-            out[f"{c}_estimate"] = pd.Series(est, dtype=object).where(~np.isnan(est), None)
+            vector = c in vectors
+            given = [None if v is None or not vector and np.isnan(v) else np.atleast_1d(np.asarray(v, dtype=float)) for v in rows[c]]
+            found = filtered(rows[order].to_numpy(float), given)
+            out[f"{c}_estimate"] = pd.Series([v if v is None else v.tolist() if vector else float(v[0]) for v in found], dtype=object)
         return pd.DataFrame(out)
 
-    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keys, order]] + [f"`{c}_estimate` double" for c in values]
+    vectors = {c for c in values if df.schema[c].dataType.simpleString().startswith("array")}
+    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keys, order]] + [f"`{c}_estimate` {'array<double>' if c in vectors else 'double'}" for c in values]
     return df.select(*keys, order, *values).groupBy(*keys).applyInPandas(run, ", ".join(kinds))
 
 

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.metrics import ratio_metric
 from ..operators import classify as c
 from ..operators import summarize as s
+from ..operators.density import mixture, mixture_group, on_grid
 from ..operators.fpgrowth import emerging_itemsets
 from ..operators.render import as_json, as_results, as_text
+from ..operators.scoring import SCORE, scorer
 from ..runtime import quoted
-from ..sources.files import write_csv
+from ..sources.files import write_csv, write_json
 from ..sources.loaders import load_uri
 
 
@@ -246,9 +248,41 @@ class CubePipeline:
         return self.explain(df)
 
 
-def pipeline(config: Config) -> BatchPipeline | CubePipeline:
+class GridPipeline:
+    """Fits a scorer to ``metrics`` and writes its scores at the points of a regular grid: ``ranges`` (metric: [low, high]), ``steps``."""
+
+    def __init__(self, config: Config):
+        self.config = config
+        self.metrics = list(config.get("metrics") or [])
+        self.ranges = {m: tuple(map(float, (config.get("ranges") or {})[m])) for m in self.metrics}
+        self.steps = int(config.get("steps", 20))
+
+    def run(self, spark: SparkSession) -> DataFrame:
+        df = load_uri(spark, self.config.get("inputURI"), dict.fromkeys(self.metrics, "double"), self.metrics)
+        fit = scorer(self.config.get("scorer", "MAD_OR_MCD"), df, self.metrics)
+        out = on_grid(lambda grid: grid.withColumn(SCORE, fit.score()), spark, self.ranges, self.steps)
+        if path := self.config.get("dumpPath"):
+            write_json(out, path)
+        return out
+
+
+class MixturePipeline:
+    """Gaussian mixture of ``metrics``: rows of the component ``targetGroup`` are explained by ``attributes``."""
+
+    def __init__(self, config: Config):
+        self.config = config
+        self.metrics, self.attributes = list(config.get("metrics") or []), list(config.get("attributes") or [])
+        self.min_support, self.min_ratio = float(config.get("minSupport", 0.01)), float(config.get("minRatioMetric", 3.0))
+
+    def run(self, spark: SparkSession) -> Explanation:
+        df = load_uri(spark, self.config.get("inputURI"), dict.fromkeys(self.metrics, "double"), [*self.attributes, *self.metrics])
+        rows = mixture_group(mixture(df, self.metrics, int(self.config.get("components", 3))), int(self.config.get("targetGroup", 0)))
+        return _explained(rows, self.config, self.attributes, None, self.min_support, self.min_ratio)
+
+
+def pipeline(config: Config) -> BatchPipeline | CubePipeline | GridPipeline | MixturePipeline:
     name = config.get("pipeline", "BasicBatchPipeline")
-    kinds = {"BasicBatchPipeline": BatchPipeline, "CubePipeline": CubePipeline}
+    kinds = {"BasicBatchPipeline": BatchPipeline, "CubePipeline": CubePipeline, "GridPipeline": GridPipeline, "MixturePipeline": MixturePipeline}
     if name not in kinds:
         raise ConfigError(f"unknown pipeline: {name}")
     return kinds[name](config)

@@ -229,6 +229,14 @@ def pipeline_fpgrowth(spark, d):
     return rounded(rows.where(F.size("items") == 1).select(*names, "support", "ratio"))
 
 
+@query("SELECT CAST(10000 + i * 1000 AS DOUBLE) AS l_extendedprice, round(abs(10000 + i * 1000 - c) / s, 6) AS score FROM (SELECT unnest(range(21)) AS i) g, (SELECT avg(l_extendedprice) AS c, stddev_pop(l_extendedprice) AS s FROM lineitem) z")
+def pipeline_grid(spark, d):
+    path = f"{shared_folder(spark)}/grid"
+    values = {"pipeline": "GridPipeline", "inputURI": f"parquet://{d}/lineitem.parquet", "metrics": ["l_extendedprice"], "scorer": "ZSCORE", "ranges": {"l_extendedprice": [10000, 30000]}, "dumpPath": path}
+    pipeline(Config(values)).run(spark)
+    return rounded(spark.read.json(path).withColumnRenamed("_SCORE", "score"))
+
+
 # The dialect.
 _MORE = {
     # name: (text for the front end, tables, other text for the second engine)

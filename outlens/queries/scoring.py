@@ -9,7 +9,7 @@ from ..operators import scoring as m
 from ..streaming import damped, windows
 from ..streaming.incremental import IncrementalExplainer
 from . import oracle as o
-from .explain import query, rounded, table
+from .explain import ORACLES, query, rounded, table
 from .sql import shared_folder
 
 _H = 3_600_000_000
@@ -226,10 +226,10 @@ def bayesian_normal_without_values(spark, d):
 @query(
     f"""WITH RECURSIVE {_HOURS}, o AS (SELECT event_type, hour, CASE WHEN CAST(hour AS BIGINT) % 7 <> 0 THEN value END AS z, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS i, hour - lag(hour) OVER (PARTITION BY event_type ORDER BY hour) AS dt FROM h),
         f AS (SELECT event_type, min(i) AS i FROM o WHERE z IS NOT NULL GROUP BY 1),
-        k AS (SELECT o.event_type, o.i, o.hour, o.z AS x, CAST(0 AS DOUBLE) AS v, CAST(1000 - 1000 * 1000 / 1010.0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(1000 AS DOUBLE) AS c FROM o JOIN f ON o.event_type = f.event_type AND o.i = f.i
-          UNION ALL SELECT event_type, i, hour, CASE WHEN z IS NULL THEN px ELSE px + pa / (pa + 10) * (z - px) END, CASE WHEN z IS NULL THEN v ELSE v + pb / (pa + 10) * (z - px) END,
-            CASE WHEN z IS NULL THEN pa ELSE pa - pa / (pa + 10) * pa END, CASE WHEN z IS NULL THEN pb ELSE pb - pa / (pa + 10) * pb END, CASE WHEN z IS NULL THEN pc ELSE pc - pb / (pa + 10) * pb END
-          FROM (SELECT o.event_type, o.i, o.hour, o.z, k.v, k.x + k.v * dt AS px, k.a + 2 * k.b * dt + k.c * dt * dt + dt * dt * dt * dt / 4 AS pa, k.b + k.c * dt + dt * dt * dt / 2 AS pb, k.c + dt * dt AS pc FROM k JOIN o ON o.event_type = k.event_type AND o.i = k.i + 1) p)
+        k AS (SELECT o.event_type, o.i, o.hour, o.z AS x, CAST(0 AS DOUBLE) AS v, CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(1 AS DOUBLE) AS c FROM o JOIN f ON o.event_type = f.event_type AND o.i = f.i
+          UNION ALL SELECT event_type, i, hour, CASE WHEN z IS NULL THEN px ELSE px + pa / (pa + dt * dt) * (z - px) END, CASE WHEN z IS NULL THEN v ELSE v + pb / (pa + dt * dt) * (z - px) END,
+            CASE WHEN z IS NULL THEN pa ELSE pa - pa / (pa + dt * dt) * pa END, CASE WHEN z IS NULL THEN pb ELSE pb - pa / (pa + dt * dt) * pb END, CASE WHEN z IS NULL THEN pc ELSE pc - pb / (pa + dt * dt) * pb END
+          FROM (SELECT o.event_type, o.i, o.hour, o.z, o.dt, k.v, k.x + k.v * dt AS px, k.a + 2 * k.b * dt + k.c * dt * dt + dt * dt * dt * dt / 4 AS pa, k.b + k.c * dt + dt * dt * dt / 2 AS pb, k.c + dt * dt AS pc FROM k JOIN o ON o.event_type = k.event_type AND o.i = k.i + 1) p)
         SELECT o.event_type, o.hour, round(k.x, 5) AS value_estimate FROM o LEFT JOIN k ON o.event_type = k.event_type AND o.i = k.i"""
 )
 def kalman_filter(spark, d):
@@ -238,6 +238,16 @@ def kalman_filter(spark, d):
     return rounded(density.kalman(rows, ["event_type"], "hour", ["value"]), 5)
 
 
+_KALMAN_PAIR = ORACLES["kalman_filter"].replace("round(k.x, 5) AS value_estimate", "CASE WHEN k.x IS NOT NULL THEN [round(k.x, 4), round(2 * k.x, 4)] END AS pair_estimate")
+
+
+@query(_KALMAN_PAIR)
+def kalman_vectors(spark, d):
+    rows = _hourly(spark, d).withColumn("pair", F.when(F.col("hour").cast("long") % 7 != 0, F.array(F.col("value"), 2 * F.col("value"))))
+    out = density.kalman(rows.drop("value"), ["event_type"], "hour", ["pair"])
+    return out.withColumn("pair_estimate", F.transform("pair_estimate", lambda x: F.round(x, 4)))
+
+
 @query("SELECT c_custkey, round(-0.5 * (ln(2 * pi()) + ln(v)) - (c_acctbal - mu) * (c_acctbal - mu) / v / 2, 6) AS log_density FROM customer, (SELECT avg(c_acctbal) AS mu, var_samp(c_acctbal) AS v FROM customer) q")
 def normal_log_density(spark, d):
     return rounded(density.linear_gaussian_log_density(table(spark, d, "customer"), ["c_acctbal"], "log_density").select("c_custkey", "log_density"))

@@ -326,3 +326,12 @@ def test_itemsets_meet_inliers(spark, monkeypatch, cube):
         assert x.records == sum(held)
         rest_out, rest = sum(o for _, o in marked) - sum(held), len(marked) - len(held)
         assert x.ratio == pytest.approx((sum(held) / len(held)) / (rest_out / rest))
+
+
+def test_mixture_pipeline(spark, tmp_path):
+    r = random.Random(6)
+    rows = [("hot", r.gauss(50, 1)) if i % 10 == 0 else (f"c{i % 3}", r.gauss(0, 1)) for i in range(600)]
+    spark.createDataFrame(rows, "k string, x double").write.parquet(str(tmp_path / "in"))
+    values = {"pipeline": "MixturePipeline", "inputURI": f"parquet://{tmp_path}/in", "attributes": ["k"], "metrics": ["x"], "components": 2, "minRatioMetric": 2.0}
+    found = [[x["matcher"] for x in pipeline(Config(values | {"targetGroup": g})).run(spark).results()] for g in (0, 1)]
+    assert [{"k": "hot"}] in found
