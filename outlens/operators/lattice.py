@@ -7,8 +7,8 @@ their pairs could grow.
 Plan: one pass aggregates single values, and with them the totals. A value that may grow has a share
 ``min_support`` of the outliers, so an attribute has at most 1 / min_support of them; they are numbered and
 broadcast. A second pass emits, per row, the pairs of such values, each packed into one long, and
-aggregates them; a third does so with the triples all of whose pairs may grow. All passes are combined
-map-side, so what is shuffled is bounded by the number of distinct combinations, not of rows.
+aggregates them; a third does so with the triples all of whose pairs may grow (of few attributes, the
+second pass counts all triples too). All passes are combined map-side, so what is shuffled is bounded by the number of distinct combinations, not of rows.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ SETS_AT_ONCE = 60
 #: Values that may grow, up to which they are numbered and broadcast. With a positive support there are at
 #: most attributes / support of them; beyond the limit, grouping sets over joined values are used.
 PACKED_VALUES = 200_000
+#: Sets of three attributes, up to which pairs and triples are counted in one pass: another one would cost more than the triples.
+ONE_PASS = 10
 #: Bits of a value's number in a packed combination.
 BITS = 21
 #: Rows that may be settled on the driver. The support bounds them beforehand: at most 1 / support
@@ -179,24 +181,29 @@ def explain(
     if pairs:
         values = singles.where(~F.col("_keep")).select(F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(i)) for i, n in enumerate(names)]).alias("_a"), F.coalesce(*names).alias("_v"))
         few = most(names) <= PACKED_VALUES or values.count() <= PACKED_VALUES
+        triples = sets_of(3) if max_order > 2 else []
+        together = pairs + (triples if len(triples) <= ONE_PASS else [])
         if few:
             rows, numbered = _numbered(base, values, names, most(names))
-            larger = _packed(rows, numbered, names, pairs, sums)
+            larger = _packed(rows, numbered, names, together, sums)
         else:
-            larger = _by_sets(base, values, names, pairs, sums, grouped)
-        larger = _settled(judged(larger), most(pairs))
-        found = found.union(larger.where("_keep").select(columns))
-        growing = larger.where(~F.col("_keep"))
-        # Triples of attributes of which every two have a pair that may grow: at most as many rows as pairs of attributes.
-        within = {frozenset(r[0]) for r in growing.select(F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in names]))).distinct().collect()}
-        triples = [s for s in sets_of(3) if all(frozenset(p) in within for p in combinations(s, 2))] if max_order > 2 else []
-        if triples:
-            if few:
+            larger = _by_sets(base, values, names, together, sums, grouped)
+        larger = _settled(judged(larger), most(together))
+        two, third = larger.where(F.col("_order") == 2), larger.where(F.col("_order") == 3)
+        found = found.union(two.where("_keep").select(columns))
+        growing = two.where(~F.col("_keep"))
+        if len(triples) > ONE_PASS:
+            # Triples of attributes of which every two have a pair that may grow: at most as many rows as pairs of attributes.
+            within = {frozenset(r[0]) for r in growing.select(F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in names]))).distinct().collect()}
+            triples = [s for s in triples if all(frozenset(p) in within for p in combinations(s, 2))]
+            if triples and few:
                 bounded = most(pairs) <= PACKED_VALUES or growing.count() <= PACKED_VALUES
-                third = _packed(rows, numbered, names, triples, sums, growing.select(F.col("_p").alias("_pair")) if bounded else None).drop("_p")
-            else:
+                third = _packed(rows, numbered, names, triples, sums, growing.select(F.col("_p").alias("_pair")) if bounded else None)
+            elif triples:
                 third = _by_sets(base, values, names, triples, sums, grouped)
-            found = found.union(_with_growing_pairs(_settled(judged(third), most(triples)), growing, names).select(columns))
+            third = _settled(judged(third), most(triples)) if triples else third
+        if triples:
+            found = found.union(_with_growing_pairs(third, growing, names).select(columns))
     return found.select(
         *[F.col(f"{n}.v").alias(a) for a, n in zip(attributes, names, strict=True)],
         *[F.col(f"_m_{k}").alias(k) for k in aggregates], *[m.name for m in metrics], F.col("_order").alias("order"),

@@ -130,13 +130,32 @@ class SpaceSaving:
     def __init__(self, capacity: int):
         self.capacity = capacity
         self.counts: dict[object, float] = {}
+        #: (count, turn, item), some of them outdated: the least counter in logarithmic time.
+        self.heap: list[tuple[float, int, object]] = []
+        self.turn = 0
+
+    def _set(self, item, count: float) -> None:
+        self.counts[item] = count
+        self.turn += 1
+        heapq.heappush(self.heap, (count, self.turn, item))
+        if len(self.heap) > 4 * self.capacity + 16:
+            self._rebuild()
+
+    def _rebuild(self) -> None:
+        self.heap = [(n, i, item) for i, (item, n) in enumerate(self.counts.items())]
+        self.turn = len(self.heap)
+        heapq.heapify(self.heap)
 
     def add(self, item, n: float = 1.0) -> None:
         if item in self.counts or len(self.counts) < self.capacity:
-            self.counts[item] = self.counts.get(item, 0.0) + n
+            self._set(item, self.counts.get(item, 0.0) + n)
             return
-        least = min(self.counts, key=self.counts.__getitem__)
-        self.counts[item] = self.counts.pop(least) + n
+        while True:
+            least, _, out = heapq.heappop(self.heap)
+            if self.counts.get(out) == least:
+                break
+        del self.counts[out]
+        self._set(item, least + n)
 
     def add_all(self, counted: dict[object, float]) -> None:
         """A batch's counts, merged in one go."""
@@ -145,6 +164,7 @@ class SpaceSaving:
 
     def decay(self, factor: float) -> None:
         self.counts = {k: v * factor for k, v in self.counts.items()}
+        self._rebuild()
 
 
 class MaintainedCounter:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from outlens.functions import stats
 from outlens.operators import classify as c
-from outlens.operators import contextual, density, fpgrowth, render, scoring
+from outlens.operators import contextual, density, fpgrowth, lattice, render, scoring
 from outlens.operators import summarize as s
 from outlens.operators.diff import diff
 from outlens.operators.fpgrowth import emerging_itemsets, pruned, without_repeats
@@ -280,8 +280,11 @@ def test_null_metrics(spark):
     assert got[:2] == [None, None] and all(abs(g - t) < 1.5 for t, g in enumerate(got) if t > 1)
 
 
-def test_wide_diff_by_brute_force(spark):
+@pytest.mark.parametrize("one_pass,packed", [(10, 200_000), (0, 200_000), (0, 0)])
+def test_wide_diff_by_brute_force(spark, monkeypatch, one_pass, packed):
     """Five attributes: triples are formed only where all pairs may grow, and nothing is lost by it."""
+    monkeypatch.setattr(lattice, "ONE_PASS", one_pass)
+    monkeypatch.setattr(lattice, "PACKED_VALUES", packed)
     r = random.Random(12)
     rows = []
     for _ in range(1500):

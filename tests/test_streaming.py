@@ -86,6 +86,15 @@ def test_samples_and_counters(spark):
     ss = damped.SpaceSaving(3)
     ss.add_all({"a": 10, "b": 5, "c": 1, "d": 1})
     assert ss.counts["a"] == 10 and len(ss.counts) == 3
+    r, true, many = random.Random(2), {}, damped.SpaceSaving(20)
+    for i in range(3000):
+        item = min(int(r.expovariate(0.2)), 60)
+        true[item] = true.get(item, 0) + 1
+        many.add(item)
+        if i == 1500:
+            many.decay(1.0)
+    assert len(many.counts) == 20 and sum(many.counts.values()) == 3000
+    assert all(true[k] <= n <= true[k] + 3000 / 20 for k, n in many.counts.items())
     mc = damped.MaintainedCounter(2)
     mc.add_all({"a": 10, "b": 5, "c": 1})
     mc.end_epoch()
