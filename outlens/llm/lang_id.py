@@ -36,13 +36,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, drop_held, fresh, mix64, prepare
+from .common import checkpointed, columns_of, drop_held, fresh, mix64, prepare
 
 SAMPLE_ROWS = 2_000
 LEAST_SHARE = 0.001
-#: With so many languages the filter has ``CELLS`` rows of 64 bytes.
+#: With so many languages the filter has rows of 64 bytes.
 MAX_LANGUAGES = 512
+#: The filter has ``ROOM`` cells or more for each n-gram of the largest language, and ``CELLS`` at most.
 CELLS = 1 << 22
+ROOM = 12
 HASHES = 3
 SIZES = (2, 3, 4)
 #: Up to so many languages, masks are counted in a table of all masks.
@@ -178,19 +180,23 @@ def fit(docs: DataFrame) -> Filter:
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages, words = sorted(sizes), words_for(len(sizes))
-    cells = np.zeros((CELLS, words), np.uint64)
     if not languages:
-        return assembled(languages, cells)
+        return assembled(languages, np.zeros((1, words), np.uint64))
+    # Bounded by the sample.
+    held = checkpointed(contained(taught, sizes))
+    most = held.groupBy("k").count().agg(F.max("count")).first()[0] or 1
+    n_cells = min(CELLS, 1 << (ROOM * most - 1).bit_length())
+    cells = np.zeros((n_cells, words), np.uint64)
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = b.column(0).to_numpy().astype(np.uint64)
             bits = (np.uint64(1) << (k % np.uint64(64))).view(np.int64)
-            for at in places(b.column(1).to_numpy().view(np.uint64), CELLS):
+            for at in places(b.column(1).to_numpy().view(np.uint64), n_cells):
                 yield pa.RecordBatch.from_arrays([pa.array(at * words + (k // np.uint64(64)).astype(np.int64)), pa.array(bits)], names=["cell", "bits"])
 
-    # One row per word of the filter at most: its size is fixed by the parameters.
-    found = contained(taught, sizes).mapInArrow(filed, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    # One row per word of the filter at most: its size is bounded by the parameters.
+    found = held.mapInArrow(filed, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
     cells.reshape(-1)[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return assembled(languages, cells)
 
@@ -198,7 +204,7 @@ def fit(docs: DataFrame) -> Filter:
 def judged(docs: DataFrame, model: Filter, name: str = "_judged") -> DataFrame:
     """``docs`` with ``name``: a struct of lang_pred and score. Reads the text alone."""
     prepare(docs.sparkSession)
-    # The filter's size is fixed by its parameters: 32 MB for up to 64 languages.
+    # The filter's size is bounded by its parameters: 32 MB for up to 64 languages.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
