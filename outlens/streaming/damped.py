@@ -1,7 +1,7 @@
 """Exponentially damped streaming: reservoirs, scorers, thresholds, heavy hitters and itemsets.
 
 Micro-batches are distributed relations; what a class keeps between them is bounded by a
-capacity and is all that reaches the driver.
+capacity and is all that reaches the driver. Without a capacity all rows are kept, as relations.
 """
 
 from __future__ import annotations
@@ -9,13 +9,14 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scoring import MAD_TO_SIGMA
-from ..runtime import quoted
+from ..operators.scoring import MAD_TO_SIGMA, exact_median
+from ..runtime import checkpointed, quoted
 from .windows import items_of, tracked_counts
 
 
@@ -60,22 +61,53 @@ def fill(reservoir: DampedReservoir, df: DataFrame, columns: Sequence[str], seed
         reservoir.insert(tuple(r), n / len(rows))
 
 
+class AllRows:
+    """The metrics of every micro-batch, as relations in the checkpoint folder: a reservoir without a capacity.
+
+    As a reservoir's decay decides which entries give way once it is full, it has nothing to decide here.
+    """
+
+    #: Relations kept side by side before they are made one.
+    PARTS = 32
+
+    def __init__(self, columns: Sequence[str]):
+        self.columns = list(columns)
+        self.parts: list[DataFrame] = []
+
+    def add(self, batch: DataFrame) -> None:
+        self.parts.append(checkpointed(batch.select(*[F.col(quoted(c)).cast("double").alias(c) for c in self.columns]).dropna()))
+        if len(self.parts) > self.PARTS:
+            self.parts = [checkpointed(self.rows().coalesce(batch.sparkSession.sparkContext.defaultParallelism))]
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionAll, self.parts)
+
+
 class DampedScorer:
-    """Scores micro-batches by median and deviation (one metric) or a robust distance, refitted on the reservoir each period."""
+    """Scores micro-batches by median and deviation (one metric) or a robust distance, refitted each period.
+
+    The fit is on a reservoir, or exact on all rows so far if ``capacity`` is None.
+    """
 
-    def __init__(self, columns: Sequence[str], capacity: int = 10_000, decay: float = 0.01, warm_up: int = 1, seed: int = 1):
+    def __init__(self, columns: Sequence[str], capacity: int | None = 10_000, decay: float = 0.01, warm_up: int = 1, seed: int = 1):
         self.columns = list(columns)
-        self.reservoir = DampedReservoir(capacity, decay, seed)
+        if capacity is None and len(self.columns) > 1:
+            raise ValueError("several metrics need a capacity")
+        self.reservoir = AllRows(columns) if capacity is None else DampedReservoir(capacity, decay, seed)
         self.batches, self.warm_up, self.seed = 0, warm_up, seed
         self.fit: tuple[np.ndarray, np.ndarray] | None = None
 
     def score(self, batch: DataFrame, output: str = "_SCORE") -> DataFrame:
-        fill(self.reservoir, batch, self.columns, self.seed + self.batches)
-        self.reservoir.advance()
+        if isinstance(self.reservoir, AllRows):
+            self.reservoir.add(batch)
+            self.fit = self._fit_rows(self.reservoir.rows()) or self.fit
+        else:
+            fill(self.reservoir, batch, self.columns, self.seed + self.batches)
+            self.reservoir.advance()
+            x = np.array(self.reservoir.entries(), dtype=float).reshape(-1, len(self.columns))
+            if len(x):
+                self.fit = self._fit(x)
         self.batches += 1
-        x = np.array(self.reservoir.entries(), dtype=float).reshape(-1, len(self.columns))
-        if len(x):
-            self.fit = self._fit(x)
         return batch.withColumn(output, self._column() if self.fit is not None and self.batches >= self.warm_up else F.lit(0.0))
 
     @staticmethod
@@ -86,6 +118,15 @@ class DampedScorer:
         low, high = np.percentile(x, [5, 95], axis=0)
         return centre, np.cov(np.clip(x, low, high), rowvar=False)
 
+    def _fit_rows(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+        """What ``_fit`` is on these rows, by order statistics that leave them where they are."""
+        if rows.isEmpty():
+            return None
+        (c,) = self.columns
+        centre = exact_median(rows, c)
+        off = rows.select(F.abs(F.col(quoted(c)) - centre).alias("off"))
+        return np.array([centre]), np.array([[exact_median(off, "off")]])
+
     def _column(self) -> Column:
         centre, spread = self.fit
         off = [F.col(quoted(c)).cast("double") - float(m) for c, m in zip(self.columns, centre, strict=True)]

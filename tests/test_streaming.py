@@ -1,9 +1,11 @@
 import random
 from itertools import combinations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from outlens.operators.diff import split
+from outlens.queries import all_oracles, all_queries
 from outlens.streaming import damped, windows
 from outlens.streaming.incremental import IncrementalExplainer
 
@@ -107,6 +109,20 @@ def test_samples_and_counters(spark):
     assert len(calls) == 2
 
 
+def differing(spark, folder, name, n=1_200_000):
+    """Rows in which a query differs from its SQL, over ``n`` events."""
+    rows = spark.range(n, numPartitions=4).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id) AS ts", "id % 97 AS user_id", "'view' AS event_type", "pow(id % 100003, 1.5) * (1 + id DIV 400000) AS value")
+    rows.write.mode("overwrite").parquet(f"{folder}/events.parquet")
+    all_queries()[name](spark, str(folder)).write.mode("overwrite").parquet(f"{folder}/got")
+    duck = duckdb.connect()
+    duck.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'; CREATE TABLE want AS {all_oracles()[name]}; CREATE TABLE got AS SELECT * FROM '{folder}/got/*.parquet'")
+    return [duck.execute(f"SELECT count(*) FROM (FROM {a} EXCEPT ALL FROM {b})").fetchone()[0] for a, b in (("got", "want"), ("want", "got"))]
+
+
+def test_damped_scores_of_a_million_rows(spark, tmp_path):
+    assert differing(spark, tmp_path, "stream_damped_scores") == [0, 0]
+
+
 def brute_counts(batches, attributes, order, decay=0.0):
     """(outliers, inliers) of every attribute set, with earlier batches decayed; nulls are values."""
     out = {}
