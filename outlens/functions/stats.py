@@ -80,6 +80,18 @@ def percentiles(df: DataFrame, column: str, points: Sequence[float]) -> list[flo
     return out
 
 
+def linear_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
+    """Quantiles of shares in 0..1 at position 1 + p (n - 1), between order statistics (the "R-7" rule, numpy's)."""
+    values = numbers(df, column)
+    n = values.count()
+    if not n:
+        return [math.nan for _ in shares]
+    places = [p * (n - 1) + 1 for p in shares]
+    ends = [(math.floor(x), min(math.floor(x) + 1, n)) for x in places]
+    found = order_statistics(values, [r for e in ends for r in e], n)
+    return [found[a] if found[a] == found[b] else found[a] + (x - a) * (found[b] - found[a]) for x, (a, b) in zip(places, ends, strict=True)]
+
+
 def cumulated(df: DataFrame, value: str, weight: str) -> DataFrame:
     """value, weight (summed per distinct value) and ``upto``: the weight at or below the value.
 

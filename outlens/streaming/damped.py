@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import linear_quantiles
 from ..operators.scoring import MAD_TO_SIGMA, exact_median
 from ..runtime import checkpointed, quoted
 from .windows import items_of, tracked_counts
@@ -141,20 +142,29 @@ class DampedScorer:
 
 
 class DampedThreshold:
-    """Marks scores at or above a percentile of a damped reservoir of scores, refreshed each micro-batch."""
+    """Marks scores at or above a percentile of a damped reservoir of scores, refreshed each micro-batch.
 
-    def __init__(self, percentile: float = 0.99, capacity: int = 10_000, decay: float = 0.01, seed: int = 2):
+    The percentile is exact and of all scores so far if ``capacity`` is None.
+    """
+
+    def __init__(self, percentile: float = 0.99, capacity: int | None = 10_000, decay: float = 0.01, seed: int = 2):
         self.percentile, self.seed = percentile, seed
-        self.reservoir = DampedReservoir(capacity, decay, seed)
+        self.reservoir = AllRows(["score"]) if capacity is None else DampedReservoir(capacity, decay, seed)
         self.threshold = math.inf
         self.batches = 0
 
     def classify(self, batch: DataFrame, score: str = "_SCORE", output: str = "_OUTLIER") -> DataFrame:
-        fill(self.reservoir, batch, [score], self.seed + self.batches)
-        self.reservoir.advance()
+        if isinstance(self.reservoir, AllRows):
+            self.reservoir.add(batch.select(F.col(quoted(score)).alias("score")))
+            (cut,) = linear_quantiles(self.reservoir.rows(), "score", [self.percentile])
+            if not math.isnan(cut):
+                self.threshold = cut
+        else:
+            fill(self.reservoir, batch, [score], self.seed + self.batches)
+            self.reservoir.advance()
+            if held := [e[0] for e in self.reservoir.entries()]:
+                self.threshold = float(np.quantile(held, self.percentile))
         self.batches += 1
-        if held := [e[0] for e in self.reservoir.entries()]:
-            self.threshold = float(np.quantile(held, self.percentile))
         x = F.col(quoted(score))
         return batch.withColumn(output, F.coalesce((x >= self.threshold) | F.isnan(x), F.lit(False)).cast("double"))
 

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from outlens.operators.diff import split
@@ -123,6 +124,24 @@ def test_damped_scores_of_a_million_rows(spark, tmp_path):
     assert differing(spark, tmp_path, "stream_damped_scores") == [0, 0]
 
 
+def test_damped_threshold_of_a_million_rows(spark, tmp_path):
+    assert differing(spark, tmp_path, "stream_damped_threshold") == [0, 0]
+
+
+def test_threshold_of_all_scores(spark):
+    threshold = damped.DampedThreshold(0.9, capacity=None)
+    flags = lambda rows: [r[0] for r in threshold.classify(spark.createDataFrame([(x,) for x in rows], "`a.b` double"), "a.b", "hit").select("hit").collect()]
+    assert flags([None, float("nan")]) == [0.0, 1.0] and threshold.threshold == float("inf")
+    assert flags([0.0, 1.0, 2.0, None]) == [0.0, 0.0, 1.0, 0.0] and abs(threshold.threshold - 1.8) < 1e-9
+    seen = [0.0, 1.0, 2.0]
+    for k in range(2):
+        rows = [float(i * (k + 1)) for i in range(40)]
+        seen += rows
+        got = flags(rows)
+        assert abs(threshold.threshold - np.quantile(seen, 0.9)) < 1e-9 and got == [float(x >= threshold.threshold) for x in rows]
+    assert flags([]) == []
+
+
 def brute_counts(batches, attributes, order, decay=0.0):
     """(outliers, inliers) of every attribute set, with earlier batches decayed; nulls are values."""
     out = {}
