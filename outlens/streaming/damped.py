@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import linear_quantiles
-from ..operators.scoring import MAD_TO_SIGMA, exact_median
+from ..operators.scoring import MAD_TO_SIGMA, covariance, exact_median
 from ..runtime import checkpointed, quoted
 from .windows import items_of, tracked_counts
 
@@ -73,10 +73,11 @@ class AllRows:
 
     def __init__(self, columns: Sequence[str]):
         self.columns = list(columns)
+        self.names = [f"m{i}" for i in range(len(self.columns))]  # dropna takes no dots
         self.parts: list[DataFrame] = []
 
     def add(self, batch: DataFrame) -> None:
-        self.parts.append(checkpointed(batch.select(*[F.col(quoted(c)).cast("double").alias(c) for c in self.columns]).dropna()))
+        self.parts.append(checkpointed(batch.select(*[F.col(quoted(c)).cast("double").alias(m) for c, m in zip(self.columns, self.names, strict=True)]).dropna()))
         if len(self.parts) > self.PARTS:
             self.parts = [checkpointed(self.rows().coalesce(batch.sparkSession.sparkContext.defaultParallelism))]
 
@@ -92,8 +93,6 @@ class DampedScorer:
 
     def __init__(self, columns: Sequence[str], capacity: int | None = 10_000, decay: float = 0.01, warm_up: int = 1, seed: int = 1):
         self.columns = list(columns)
-        if capacity is None and len(self.columns) > 1:
-            raise ValueError("several metrics need a capacity")
         self.reservoir = AllRows(columns) if capacity is None else DampedReservoir(capacity, decay, seed)
         self.batches, self.warm_up, self.seed = 0, warm_up, seed
         self.fit: tuple[np.ndarray, np.ndarray] | None = None
@@ -101,7 +100,7 @@ class DampedScorer:
     def score(self, batch: DataFrame, output: str = "_SCORE") -> DataFrame:
         if isinstance(self.reservoir, AllRows):
             self.reservoir.add(batch)
-            self.fit = self._fit_rows(self.reservoir.rows()) or self.fit
+            self.fit = self._fit_rows(self.reservoir.rows(), self.reservoir.names) or self.fit
         else:
             fill(self.reservoir, batch, self.columns, self.seed + self.batches)
             self.reservoir.advance()
@@ -119,14 +118,21 @@ class DampedScorer:
         low, high = np.percentile(x, [5, 95], axis=0)
         return centre, np.cov(np.clip(x, low, high), rowvar=False)
 
-    def _fit_rows(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    @staticmethod
+    def _fit_rows(rows: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """What ``_fit`` is on these rows, by order statistics that leave them where they are."""
         if rows.isEmpty():
             return None
-        (c,) = self.columns
-        centre = exact_median(rows, c)
-        off = rows.select(F.abs(F.col(quoted(c)) - centre).alias("off"))
-        return np.array([centre]), np.array([[exact_median(off, "off")]])
+        if len(names) == 1:
+            centre = exact_median(rows, names[0])
+            off = rows.select(F.abs(F.col(names[0]) - centre).alias("off"))
+            return np.array([centre]), np.array([[exact_median(off, "off")]])
+        centre, clipped = [], []
+        for c in names:
+            low, middle, high = linear_quantiles(rows, c, [0.05, 0.5, 0.95])
+            centre.append(middle)
+            clipped.append(F.least(F.greatest(F.col(c), F.lit(low)), F.lit(high)).alias(c))
+        return np.array(centre), covariance(rows.select(*clipped), names)[1]
 
     def _column(self) -> Column:
         centre, spread = self.fit
@@ -156,7 +162,7 @@ class DampedThreshold:
     def classify(self, batch: DataFrame, score: str = "_SCORE", output: str = "_OUTLIER") -> DataFrame:
         if isinstance(self.reservoir, AllRows):
             self.reservoir.add(batch.select(F.col(quoted(score)).alias("score")))
-            (cut,) = linear_quantiles(self.reservoir.rows(), "score", [self.percentile])
+            (cut,) = linear_quantiles(self.reservoir.rows(), *self.reservoir.names, [self.percentile])
             if not math.isnan(cut):
                 self.threshold = cut
         else:

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from outlens.operators.diff import split
@@ -142,6 +143,32 @@ def test_threshold_of_all_scores(spark):
     assert flags([]) == []
 
 
+def test_damped_queries_draw_no_sample(spark, sf, monkeypatch):
+    def drawn(*_, **__):
+        raise AssertionError("a sample")
+
+    monkeypatch.setattr(damped, "weighted_sample", drawn)
+    for name in ("stream_damped_scores", "stream_damped_threshold"):
+        assert all_queries()[name](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("columns", [["x"], ["x", "y.z"]])
+def test_scorer_fits_all_rows(spark, monkeypatch, columns):
+    monkeypatch.setattr(damped.AllRows, "PARTS", 2)  # so that relations are made one on the way
+    r = random.Random(5)
+    scorer, seen = damped.DampedScorer(columns, capacity=None), []
+    for k in range(4):
+        rows = [(r.gauss(k, 1 + k), r.choice([r.gauss(0, 1), None])) for _ in range(150)] if k != 1 else []
+        batch = spark.createDataFrame(rows, "x double, `y.z` double")
+        got = [s[0] for s in scorer.score(batch, "s").select("s").collect()]
+        seen += [v for row in rows if None not in (v := row[: len(columns)])]
+        centre, spread = damped.DampedScorer._fit(np.array(seen))
+        assert np.allclose(scorer.fit[0], centre) and np.allclose(scorer.fit[1], spread)
+        if len(columns) == 1:
+            assert np.allclose(got, [abs(x - centre[0]) / (spread[0, 0] * 1.4826) for x, _ in rows])
+        assert len(scorer.reservoir.parts) <= 2
+
+
 def brute_counts(batches, attributes, order, decay=0.0):
     """(outliers, inliers) of every attribute set, with earlier batches decayed; nulls are values."""
     out = {}
