@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import functools
 import http.server
+import tempfile
 import threading
+import uuid
+import zipfile
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from ..functions import udfs
@@ -97,12 +102,37 @@ def source_rest(spark, d):
 
 @query("SELECT R_REGIONKEY, R_NAME FROM (SELECT CAST(r_regionkey AS INTEGER) AS R_REGIONKEY, r_name AS R_NAME FROM region) q WHERE R_REGIONKEY > 0")
 def source_jdbc(spark, d):
-    """A database inside this process, so for a session without executors of its own."""
-    url, driver = f"jdbc:derby:memory:{shared_folder(spark).rpartition('-')[2]};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    """A database that every executor has a copy of, as this process cannot serve one."""
     rows = table(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("R_REGIONKEY"), F.col("r_name").alias("R_NAME"))
     # The dialect's CLOB cannot be compared, so text has a length.
-    rows.write.format("jdbc").option("url", url).option("dbtable", "REGION").option("driver", driver).option("createTableColumnTypes", "R_NAME VARCHAR(40)").save()
-    return read_jdbc(spark, url, "SELECT * FROM REGION WHERE R_REGIONKEY > 0;", ["R_REGIONKEY", "R_NAME"], driver=driver)
+    url = _shipped_derby(spark, rows, "REGION", "R_REGIONKEY INTEGER, R_NAME VARCHAR(40)")
+    return read_jdbc(spark, url, "SELECT * FROM REGION WHERE R_REGIONKEY > 0;", ["R_REGIONKEY", "R_NAME"], driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+
+
+def _shipped_derby(spark, rows, name: str, columns: str) -> str:
+    """The URL of a read-only database with one table, in a jar that Spark sends to its executors."""
+    database = f"outlens_{uuid.uuid4().hex}"
+    folder = Path(tempfile.mkdtemp(prefix="derby-"))
+    manager = spark.sparkContext._jvm.java.sql.DriverManager
+    connection = manager.getConnection(f"jdbc:derby:{folder / database};create=true")
+    connection.createStatement().execute(f"CREATE TABLE {name} ({columns})")
+    insert = connection.prepareStatement(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows.columns))})")
+    for row in rows.toLocalIterator():
+        for i, x in enumerate(row, 1):
+            insert.setObject(i, x)
+        insert.executeUpdate()
+    connection.close()
+    try:
+        manager.getConnection(f"jdbc:derby:{folder / database};shutdown=true")
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # what an orderly end of one database raises
+            raise
+    jar = folder / f"{database}.jar"
+    with zipfile.ZipFile(jar, "w") as z:
+        for f in sorted((folder / database).rglob("*")):
+            z.write(f, f.relative_to(folder))
+    spark.sql(f"ADD JAR '{jar}'")
+    return f"jdbc:derby:classpath:{database}"
 
 
 # Column functions.

@@ -2,6 +2,10 @@
 
 import collections
 import math
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -50,6 +54,23 @@ def test_query(spark, sf, duck, name):
     assert got == collections.Counter(tuple(cell(r[i]) for i in theirs) for r in found.fetchall())
 
 
+ON_EXECUTORS = """
+from pyspark.sql import SparkSession
+from outlens.queries import all_queries
+spark = SparkSession.builder.config("spark.driver.host", "127.0.0.1").config("spark.ui.enabled", "false").master("local-cluster[2,1,1024]").getOrCreate()
+for _ in range(2):
+    print(sorted(tuple(r) for r in all_queries()["source_jdbc"](spark, {!r}).repartition(4).collect()))
+spark.stop()
+"""
+
+
+def test_jdbc_on_executors_of_their_own(sf, tmp_path, duck):
+    run = subprocess.run([sys.executable, "-c", ON_EXECUTORS.format(sf)], env=os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[1])}, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    want = duck.execute("SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 0 ORDER BY 1").fetchall()
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert [x for x in run.stdout.splitlines() if x.startswith("[(")] == [str(want)] * 2
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 6
     assert set(all_queries()) <= set(entry.queries())
